@@ -108,4 +108,4 @@ def components(spark: SparkSession, edges: DataFrame, label: str) -> tuple[DataF
         if mark == seen:
             break
         seen = mark
-    return now.select(F.col("a").alias("node"), F.col("b").alias("comp")), path
+    return now.union(now.select("b", "b").distinct()).toDF("node", "comp"), path
