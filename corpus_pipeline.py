@@ -5,8 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siteglass.llm import byte_bpe, decontaminate
-from siteglass.llm.common import stored, table
+from siteglass.llm import byte_bpe, decontaminate, ngram_join, pii, toxicity
+from siteglass.llm.common import join_checked, stored, table
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model, trained on the labels, calls toxic go."""
+    return toxicity.rate(spark, docs, toxicity.train(spark, docs, table(spark, sf_dir, "labels")), keep="clean")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by n-gram similarity the one with the least doc_id stays; doc_id tells documents apart."""
+    gone = ngram_join.join(spark, docs).where("class_id <> doc_id").select("doc_id").distinct()
+    return join_checked(spark, docs, gone, ["doc_id"], "left_anti", 2_000_000)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,12 +25,23 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.remove(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
+def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return pii.redact(spark, docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and digests of them and of the decoded bytes."""
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("decontamination", decontamination), ("byte_bpe", tokens)]
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("ngram_join", one_of_each_group),
+    ("decontamination", decontamination),
+    ("pii", redaction),
+    ("byte_bpe", tokens),
+]
 ORACLE_SQL = None
 
 

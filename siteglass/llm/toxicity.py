@@ -74,7 +74,8 @@ def fit(rows: list[tuple[dict[int, int], int]], n_features: int, rounds: int = 3
     theta = np.zeros(n_features + k)
     theta[n_features] = 1.0
     above = (y[:, None] >= np.arange(1, GRADES)).astype(float)
-    weight = np.where(above > 0, 0.5 / np.maximum(above.mean(0), 1e-9), 0.5 / np.maximum(1 - above.mean(0), 1e-9))
+    share = np.clip(above.mean(0), 1e-9, 1 - 1e-9)
+    weight = np.sqrt(np.where(above > 0, 0.5 / share, 0.5 / (1 - share)))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
         w, steps = theta[:n_features], theta[n_features:]
@@ -92,7 +93,7 @@ def fit(rows: list[tuple[dict[int, int], int]], n_features: int, rounds: int = 3
     return theta[:n_features], steps[0] + np.concatenate([[0.0], np.cumsum(np.exp(steps[1:]))])
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_docs: int = 12_000, most_features: int = 3000, least_df: int = 4) -> Ordinal:
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_docs: int = 12_000, most_features: int = 6000, least_df: int = 4) -> Ordinal:
     """A model from at most about ``sample_docs`` labelled rows, half of them toxic where there are as many.
 
     A document with conflicting labels counts as toxic. Without rows of both kinds the model calls nothing toxic.
