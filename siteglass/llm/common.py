@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteglass.storage import discard, new_path, open_path, shared_dir, stored
+
+__all__ = ["BoundedCache", "components", "discard", "join_checked", "new_path", "open_path", "shared_dir", "stored", "table", "words_of"]
+
 #: Bytes outside words become blanks and A-Z become a-z; bytes of non-ASCII characters stay.
 WORD_BYTES = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20
@@ -22,46 +21,6 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode().translate(WORD_BYTES).split()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. A local session without one gets its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        option = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = option.get() if option.isDefined() else None
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="siteglass-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base if "://" in base or base.startswith("file:") else f"file://{os.path.abspath(base)}"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/siteglass/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write df to the shared folder and read it back, which cuts its lineage; gives the path too."""
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete stored tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def open_path(uri: str) -> tuple[pafs.FileSystem, str]:
-    """A file system and the path in it, for code that runs on executors."""
-    if uri.startswith("file:") and not uri.startswith("file://"):
-        uri = f"file://{uri[5:]}"
-    return pafs.FileSystem.from_uri(uri)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
