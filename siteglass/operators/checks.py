@@ -48,7 +48,8 @@ def every(issue: str, when: Column, details: Column) -> Column:
 def exploded(rows: DataFrame, single: list[Column], many: list[Column] = (), url: str = "url") -> DataFrame:
     ones = F.filter(F.array(*single), lambda x: x.isNotNull())
     all_of = F.concat(ones, *many) if many else ones
-    return rows.select(F.col(url).alias("url"), F.explode(all_of).alias("x")).select("url", "x.issue", "x.detail")
+    rows = rows if url == "url" else rows.withColumn("url", F.col(url))
+    return rows.select("url", all_of.alias("__found")).select("url", F.explode("__found").alias("x")).select("url", "x.issue", "x.detail")
 
 
 def is_html(content_type: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siteglass.config import DEFAULT, Config
 from siteglass.functions import urls
-from siteglass.operators.neardup import similarity_udf
+from siteglass.operators.neardup import with_similarity
 
 
 def mapped_pages(prev: DataFrame, mappings: tuple[tuple[str, str], ...]) -> DataFrame:
@@ -65,7 +65,7 @@ def element_changes(prev: DataFrame, curr: DataFrame, cfg: Config = DEFAULT) ->
             notes.append(F.when(on & (F.col(f"p_{name}") != F.col(f"c_{name}")), F.struct(F.lit(name).alias("element"), F.col(f"p_{name}").alias("previous"), F.col(f"c_{name}").alias("current"))))
     parts = [both.select("url", F.explode(F.filter(F.array(*notes), lambda x: x.isNotNull())).alias("x")).select("url", "x.*")]
     if "content" in cfg.change_detection:
-        differ = both.where(facts & ~((F.col("p_hash") != "") & (F.col("p_hash") == F.col("c_hash")))).select("url", similarity_udf()("p_text", "c_text").alias("sim"))
+        differ = with_similarity(both.where(facts & ~((F.col("p_hash") != "") & (F.col("p_hash") == F.col("c_hash")))).select("url", F.col("p_text").alias("a"), F.col("c_text").alias("b")))
         told = F.concat(F.bround("sim", 0).cast("int").cast("string"), F.lit("% similar"))
         parts.append(differ.where(100 - F.col("sim") > cfg.content_change_threshold).select("url", F.lit("content").alias("element"), F.lit("").alias("previous"), told.alias("current")))
     return reduce(DataFrame.union, parts)

@@ -31,6 +31,8 @@ def tab(pages: DataFrame, name: str, issues: DataFrame | None = None, issue: str
     """A page tab ordered by URL, its values as strings; with an issue only the URLs it affects (hreflang ignores it)."""
     if issue and name != "hreflang":
         pages = pages.join(issues.where(F.col("issue") == issue).select("url"), "url", "left_semi")
+    if name == "response_codes":
+        return as_strings(pages.select("url", "scope", "state", "status_code", "status", "redirect_url", "redirect_type", "fetch_error")).orderBy("url")
     with_facts = pages.where("facts IS NOT NULL")
     status = F.coalesce("indexability_status", F.lit("")).alias("indexability_status")
     if name in ("internal", "external"):
@@ -41,8 +43,6 @@ def tab(pages: DataFrame, name: str, issues: DataFrame | None = None, issue: str
             first("descriptions").alias("meta_description"), first("h1s").alias("h1"), F.coalesce("facts.word_count", F.lit(0)).alias("word_count"),
             first("canonical_html").alias("canonical"), "redirect_url", "redirect_type",
         )
-    elif name == "response_codes":
-        out = pages.select("url", "scope", "state", "status_code", "status", "redirect_url", "redirect_type", "fetch_error")
     elif name in ("titles", "descriptions"):
         text, px = (first(name), TITLE_PX) if name == "titles" else (first(name), DESCRIPTION_PX)
         out = with_facts.select("url", text.alias(name[:-1]), F.length(text).alias("length"), pixel_width(text, px).alias("pixel_width"), F.size(f"facts.{name}").alias("count"), status)
