@@ -90,7 +90,7 @@ def sitemap_rows(pages: DataFrame, per_file: int = PER_SITEMAP, lastmod: bool =
     ok = pages.where("scope = 'internal' AND state = 'crawled' AND status_code BETWEEN 200 AND 299 AND indexable")
     if not non_html:
         ok = ok.where("content_type LIKE '%text/html%' OR content_type LIKE '%application/xhtml%'")
-    day = F.date_format(F.try_to_timestamp(F.col("headers")["Last-Modified"], F.lit("EEE, dd MMM yyyy HH:mm:ss z")), "yyyy-MM-dd") if lastmod else F.lit(None).cast("string")
+    day = F.date_format(F.try_to_timestamp(F.regexp_extract(F.col("headers")["Last-Modified"], r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} [0-9:]{8}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss")), "yyyy-MM-dd") if lastmod else F.lit(None).cast("string")
     rows = ok.select(F.col("url").alias("loc"), day.alias("lastmod")).repartitionByRange("loc").sortWithinPartitions("loc")
     rows = rows.withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.expr("shiftright(id, 33)"))
     sizes = [(r[0], r[1]) for r in rows.groupBy("part").count().orderBy("part").collect()]
@@ -160,7 +160,7 @@ def write_warc(pages: DataFrame, folder: str, fields: dict[str, str]) -> DataFra
                 if out is None:
                     fs, at = open_path(folder if "://" in folder else f"file://{folder}")
                     fs.create_dir(at, recursive=True)
-                    out = fs.open_output_stream(f"{at}/{name}")
+                    out = fs.open_output_stream(f"{at}/{name}", compression=None)
                     info = "".join(f"{k}: {fields[k]}\r\n" for k in sorted(fields)).encode()
                     out.write(warc_record([*common("warcinfo"), ("Content-Type", "application/warc-fields")], info))
                 block = io.BytesIO()
