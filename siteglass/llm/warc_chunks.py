@@ -81,7 +81,7 @@ def write(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, str]:
                 if out is None:
                     fs, root = open_path(folder)
                     fs.create_dir(root, recursive=True)
-                    out = fs.open_output_stream(f"{root}/{name}")
+                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 if no == 0:
                     member = zlib.compressobj(1, zlib.DEFLATED, 31)
                     out.write(member.compress(head(page_id, url, refers_to, size, sha1)))
@@ -179,7 +179,7 @@ def read(manifest: DataFrame, folder: str, data: bool = True, only_last: bool =
         fs, root = open_path(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                with fs.open_input_stream(f"{root}/{name}") as raw:
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as raw:
                     rows, size = [], 0
                     for row in parse(raw):
                         if only_last and not row[7]:

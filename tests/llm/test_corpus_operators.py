@@ -1,5 +1,6 @@
 """Operators on whole tables against brute force, SQL and held-out accuracy."""
 
+import gzip
 import math
 import random
 from collections import Counter, defaultdict
@@ -182,6 +183,9 @@ def test_warc_round_trip_equals_sql(spark, tmp_path):
     got = warc_chunks.round_trip(spark, pages).select(*names).collect()
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
     manifest, folder = warc_chunks.write(spark, warc_chunks.chunks(warc_chunks.records(spark, pages), 1000))
+    archive = folder.removeprefix("file://") + "/" + manifest.first().archive
+    with gzip.open(archive) as raw:  # one level of compression
+        assert raw.read().startswith(b"WARC/1.1\r\nWARC-Type: re")
     back = defaultdict(bytes)
     for r in warc_chunks.read(manifest, folder).orderBy("page_id", "chunk_no").collect():
         back[r.page_id] += bytes(r.data)
