@@ -70,7 +70,7 @@ class Identifier:
         return out
 
 
-def train(spark: SparkSession, docs: DataFrame, sample_docs: int = 1500, most_langs: int = 200) -> Identifier:
+def train(spark: SparkSession, docs: DataFrame, sample_docs: int = 800, most_langs: int = 200) -> Identifier:
     """An identifier from labelled rows that aren't held out; without such rows it knows no language."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
