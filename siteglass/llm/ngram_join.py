@@ -5,7 +5,7 @@ the MD5 of the set. A node's MinHash coordinates embed its set; as in Christiani
 coordinates with an expected 1/threshold of them, nodes that share the value sampled share a path, and paths are cut again
 at freshly sampled coordinates until their buckets are small. Runs repeat until the target recall at the threshold.
 
-Small buckets are compared by brute force on 16-bit sketches with five standard deviations of slack, and give a spanning
+Small buckets are compared by brute force on the coordinates with five standard deviations of slack, and give a spanning
 forest of candidate links; buckets that stay large at the last depth hold near-equal sets, and are linked as a star.
 Candidate components are then verified exactly: members meet in cells of two blocks of bounded size, all pairs of a cell
 are compared by one weighted matrix product, and only counts of links and a spanning forest leave the cell. So no task or
@@ -56,13 +56,13 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """MinHash coordinates: for each seed the least of the re-hashed members."""
+    """MinHash coordinates: for each seed the least of the re-hashed members, its low 32 bits."""
     out = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), 4096):
         z = hashes[i : i + 4096, None] * SEEDS
         z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         out = np.minimum(out, (z ^ (z >> np.uint64(32))).min(0))
-    return out
+    return out.astype(np.uint32)
 
 
 def survival(depth: int) -> float:
@@ -101,7 +101,7 @@ def embedded(docs: DataFrame) -> DataFrame:
 
 
 def coordinate(sig: F.Column, i: F.Column | int) -> F.Column:
-    return F.substring(sig, (F.lit(i) if isinstance(i, int) else i) * 8 + 1, F.lit(8))
+    return F.substring(sig, (F.lit(i) if isinstance(i, int) else i) * 4 + 1, F.lit(4))
 
 
 def forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -122,48 +122,40 @@ def forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def bucket_links(buckets: DataFrame, floor: float) -> DataFrame:
-    """Candidate links (a, b) of bounded buckets (members: array of sid and sketch), as spanning forests."""
+    """Candidate links (a, b) of bounded buckets (members: array of node and sig), as spanning forests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for members in batch.column(0).to_pylist():
-                sids = [m["sid"] for m in members]
-                sketch = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint16).reshape(len(members), COORDINATES)
-                near = (sketch[:, None, :] == sketch[None]).mean(2) >= floor
+                ids = [m["node"] for m in members]
+                sigs = np.frombuffer(b"".join(m["sig"] for m in members), np.uint32).reshape(len(members), COORDINATES)
+                near = (sigs[:, None, :] == sigs[None]).mean(2) >= floor
                 for x, y in forest(len(members), zip(*(i.tolist() for i in np.nonzero(np.triu(near, 1))), strict=True)):
-                    a.append(sids[x])
-                    b.append(sids[y])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                    a.append(ids[x])
+                    b.append(ids[y])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return buckets.mapInArrow(run, "a binary, b binary")
-
-
-def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sid, sig) to (sid, sketch): the low 16 bits of each coordinate."""
-    for batch in batches:
-        out = [np.frombuffer(x, np.uint16)[::4].tobytes() for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["sid", "sketch"])
+    return buckets.mapInArrow(run, "a long, b long")
 
 
 def candidates(spark: SparkSession, nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Candidate links (a, b) between nodes (sid, sig): every pair at the threshold is connected, at the recall."""
+    """Candidate links (a, b) between nodes (node, sig): every pair at the threshold is connected, at the recall."""
     floor = threshold - 5 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
     share, paths, drop = 1 / threshold, [], []
     sampled = [(r, i) for r in range(runs_for(recall)) for i in chosen(r, share)]
-    picks = F.array(*[F.struct(F.lit(i).alias("i"), coordinate(F.col("sig"), i).alias("v")) for i in sorted({i for _, i in sampled})])
-    rows = nodes.select("sid", F.explode(picks).alias("p")).select("sid", F.xxhash64("p.i", "p.v").alias("path"), F.col("p.i").alias("i"))
+    picks = F.array(*[F.xxhash64(F.lit(i), coordinate(F.col("sig"), i)) for i in sorted({i for _, i in sampled})])
+    rows = nodes.select("node", F.posexplode(picks).alias("at", "path"))
     links = None
     for depth in range(1, DEPTH + 1):
-        marks = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("sid").alias("low"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("sum"), *([F.first("i").alias("i")] if depth == 1 else []))
+        at = [F.min("at").alias("at")] if depth == 1 else []
+        marks = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("mark"), *at)
         marks, path = stored(spark, marks.where("n > 1"), f"paths{depth}")
         drop.append(path)
         # buckets with the same members need one comparison
-        small = marks.where(F.col("n") <= BUCKET).groupBy("n", "low", "sum").agg(F.min("path").alias("path")).select("path")
-        members, path = stored(spark, rows.join(small, "path").select("path", "sid"), f"members{depth}")
-        drop.append(path)
-        sketches = nodes.join(members.select("sid").distinct(), "sid", "left_semi").select("sid", "sig").mapInArrow(sketched, "sid binary, sketch binary")
-        full = members.join(sketches, "sid").groupBy("path").agg(F.collect_list(F.struct("sid", "sketch")).alias("members")).select("members")
+        small = marks.where(F.col("n") <= BUCKET).groupBy("n", "low", "mark").agg(F.min("path").alias("path")).select("path")
+        members = rows.select("path", "node").join(small, "path").join(nodes.select("node", "sig"), "node")
+        full = members.groupBy("path").agg(F.collect_list(F.struct("node", "sig")).alias("members")).select("members")
         found, path = stored(spark, bucket_links(full, floor).distinct(), f"links{depth}")
         paths.append(path)
         links = found if links is None else links.union(found)
@@ -171,20 +163,21 @@ def candidates(spark: SparkSession, nodes: DataFrame, threshold: float, recall:
         if not large.limit(1).count():
             break
         if depth == DEPTH:
-            links = links.union(rows.join(large.select("path", "low"), "path").select(F.col("sid").alias("a"), F.col("low").alias("b")).distinct())
+            links = links.union(rows.join(large.select("path", "low"), "path").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
             break
         if depth == 1:
-            by_coordinate: dict[int, list[int]] = {}
+            places = {i: p for p, i in enumerate(sorted({i for _, i in sampled}))}
+            by_place: dict[int, list[int]] = {}
             for r, i in sampled:
-                by_coordinate.setdefault(i, []).append(r)
-            runs = F.create_map(*[x for i, rs in by_coordinate.items() for x in (F.lit(i), F.array(*map(F.lit, rs)))])
-            deep = rows.join(large.select("path", "i"), ["path", "i"]).select("sid", F.explode(runs[F.col("i")]).alias("run"), "path")
-            deep = deep.select("sid", F.xxhash64("run", "path").alias("path"))
+                by_place.setdefault(places[i], []).append(r)
+            runs = F.create_map(*[x for p, rs in by_place.items() for x in (F.lit(p), F.array(*map(F.lit, rs)))])
+            deep = rows.select("path", "node").join(large.select("path", "at"), "path").select("node", F.explode(runs[F.col("at")]).alias("run"), "path")
+            deep = deep.select("node", F.xxhash64("run", "path").alias("path"))
         else:
-            deep = rows.join(large.select("path"), "path").select("sid", "path")
+            deep = rows.join(large.select("path"), "path").select("node", "path")
         take = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.pmod(F.xxhash64("path", i), F.lit(1 << 20)) < int(share / COORDINATES * (1 << 20)))
-        deep = deep.join(nodes.select("sid", "sig"), "sid").select("sid", "sig", "path", F.explode(take).alias("i"))
-        rows, path = stored(spark, deep.select("sid", F.xxhash64("path", "i", coordinate(F.col("sig"), F.col("i"))).alias("path")).distinct(), f"rows{depth}")
+        deep = deep.join(nodes.select("node", "sig"), "node").select("node", "sig", "path", F.explode(take).alias("i"))
+        rows, path = stored(spark, deep.select("node", F.xxhash64("path", "i", coordinate(F.col("sig"), F.col("i"))).alias("path")).distinct(), f"rows{depth}")
         drop.append(path)
     links, path = stored(spark, links.distinct(), "candidates")
     discard(spark, *drop, *paths)
@@ -246,7 +239,7 @@ def cell_links(members: DataFrame, threshold: float) -> DataFrame:
     return members.groupBy("comp", "i", "j").applyInArrow(compare, "sid binary, links long, other binary")
 
 
-def join(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, recall: float = 0.99999) -> DataFrame:
+def join(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
     """Per row of docs: doc_id, class_id and n_links.
 
     n_links is the number of other documents whose sets have a Jaccard similarity of the threshold or more; class_id is the
@@ -256,10 +249,12 @@ def join(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, recall: f
     """
     rows, _ = stored(spark, embedded(docs), "sets")
     nodes = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    nodes, _ = stored(spark, nodes, "nodes")
-    links = candidates(spark, nodes.select("sid", "sig"), threshold, recall)
+    # 60 bits of the id name a node among candidates; two sets that share it would only meet in one component
+    short = F.conv(F.substring(F.hex("sid"), 1, 15), 16, 10).cast("long").alias("node")
+    nodes, _ = stored(spark, nodes.select("*", short), "nodes")
+    links = candidates(spark, nodes.select("node", "sig"), threshold, recall)
     groups, group_path = components(spark, links, "groups")
-    inside = nodes.select("sid", "low", "copies", "n").join(groups.withColumnRenamed("node", "sid"), "sid")
+    inside = nodes.select("node", "sid", "low", "copies", "n").join(groups, "node").drop("node")
     inside, inside_path = stored(spark, inside, "inside")
     sizes = inside.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     inside = inside.join(sizes, "comp")
