@@ -64,12 +64,13 @@ class Ordinal:
         return float(p.sum()), int((p >= 0.5).sum()), bool(p[0] >= 0.5)
 
 
-def fit(rows: list[tuple[dict[int, int], int]], n_features: int, rounds: int = 300, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by Adam on the whole sample; thresholds stay ordered as a start and positive steps."""
-    at = np.concatenate([np.full(len(x), i) for i, (x, _) in enumerate(rows)] or [np.zeros(0)]).astype(np.int64)
-    col = np.fromiter((i for x, _ in rows for i in x), np.int64)
-    val = np.log1p(np.fromiter((n for x, _ in rows for n in x.values()), np.float64))
-    y = np.array([g for _, g in rows])
+def fit(sizes: np.ndarray, col: np.ndarray, counts: np.ndarray, y: np.ndarray, n_features: int, rounds: int = 300, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by Adam on the whole sample; thresholds stay ordered as a start and positive steps.
+
+    The sample is a sparse matrix: the number of features of each row, and all rows' features and counts in order."""
+    at = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    val = np.log1p(counts.astype(np.float32))
+    parts = [slice(i, i + 500_000) for i in range(0, len(val), 500_000)]
     k = GRADES - 1
     theta = np.zeros(n_features + k)
     theta[n_features] = 1.0
@@ -80,10 +81,11 @@ def fit(rows: list[tuple[dict[int, int], int]], n_features: int, rounds: int = 3
     for t in range(1, rounds + 1):
         w, steps = theta[:n_features], theta[n_features:]
         cuts = steps[0] + np.concatenate([[0.0], np.cumsum(np.exp(steps[1:]))])
-        score = np.bincount(at, weights=val * w[col], minlength=len(y))
+        score = sum((np.bincount(at[p], weights=val[p] * w[col[p]], minlength=len(y)) for p in parts), np.zeros(len(y)))
         gap = weight * (1 / (1 + np.exp(np.clip(cuts - score[:, None], -50, 50))) - above) / len(y)
         g = np.zeros_like(theta)
-        g[:n_features] = np.bincount(col, weights=val * gap.sum(1)[at], minlength=n_features) + ridge * w
+        pull = gap.sum(1)
+        g[:n_features] = sum((np.bincount(col[p], weights=val[p] * pull[at[p]], minlength=n_features) for p in parts), ridge * w)
         d = -gap.sum(0)
         g[n_features] = d.sum()
         g[n_features + 1 :] = np.exp(steps[1:]) * np.cumsum(d[::-1])[::-1][1:]
@@ -145,14 +147,17 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_docs:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = words(text)
                 row = model.row(found)
-                out.append((list(row), list(row.values()), toxic, sum(n for w, n in found.items() if not marks.isdisjoint(grams(w)))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_(), pa.int64()))], ["cols", "n", "toxic", "marked"])
-
-    got = sample.select("text", (F.col("toxic") > 0).alias("toxic")).mapInArrow(rows, "cols array<int>, n array<int>, toxic boolean, marked long").collect()
-    marked = np.array([r["marked"] for r in got if r["toxic"]])
-    low, high = np.quantile(marked, [1 / 3, 2 / 3]) if len(marked) else (0, 0)
-    grade = lambda r: 0 if not r["toxic"] else 1 + (r["marked"] > low) + (r["marked"] > high)
-    weights, cuts = fit([(dict(zip(r["cols"], r["n"], strict=True)), int(grade(r))) for r in got], len(features))
+                packed = [np.fromiter(x, "<i4", len(row)).tobytes() for x in (row, row.values())]
+                out.append((*packed, toxic, sum(n for w, n in found.items() if not marks.isdisjoint(grams(w)))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.bool_(), pa.int64()))], ["cols", "n", "toxic", "marked"])
+
+    got = sample.select("text", (F.col("toxic") > 0).alias("toxic")).mapInArrow(rows, "cols binary, n binary, toxic boolean, marked long").toArrow()
+    toxic, marked = (np.asarray(got[c].to_pylist()) for c in ("toxic", "marked"))
+    low, high = np.quantile(marked[toxic], [1 / 3, 2 / 3]) if toxic.any() else (0, 0)
+    grades = toxic * (1 + (marked > low) + (marked > high))
+    cols, counts = (got[c].to_pylist() for c in ("cols", "n"))
+    flat = lambda parts: np.frombuffer(b"".join(parts), "<i4")
+    weights, cuts = fit(np.array([len(c) // 4 for c in cols]), flat(cols), flat(counts), grades, len(features))
     shared.unpersist()
     return Ordinal(features, weights, cuts)
 
