@@ -76,19 +76,25 @@ def depths(spark: SparkSession, seeds: DataFrame, edges: DataFrame) -> DataFrame
     return done
 
 
-def walk(spark: SparkSession, starts: DataFrame, steps: DataFrame, most: int) -> DataFrame:
+def walk(spark: SparkSession, starts: DataFrame, steps: DataFrame, most: int, every: int = 5) -> DataFrame:
     """Follow steps (at, to) from each start: (source, hops, loop). A walk ends without a step, at a node it has seen
-    (loop), or after ``most`` hops."""
-    now = starts.select(F.col("node").alias("source"), F.col("node").alias("at"), F.array().cast("array<string>").alias("hops"))
-    done, path = [], None
-    for i in range(most + 1):
-        moved = now.join(steps.select("at", "to"), "at", "left").select("source", F.col("to").alias("at"), "hops")
-        seen = F.array_contains("hops", F.col("at")) | (F.col("at") == F.col("source"))
-        moved = moved.select("source", "at", F.when(F.col("at").isNull(), F.col("hops")).otherwise(F.concat("hops", F.array("at"))).alias("hops"), F.coalesce(seen, F.lit(False)).alias("loop"))
-        moved, path = stored(spark, moved, "walk")
-        ended = F.col("at").isNull() | F.col("loop") | F.lit(i + 1 >= most)
-        done.append(moved.where(ended).select("source", "hops", "loop"))
-        now = moved.where(~ended).select("source", "at", "hops")
+    (loop), or after ``most`` hops. State is written every few steps; a walk that has ended leaves it, and until then waits
+    at a place of its own, so that ended walks don't meet in one partition."""
+    aside = F.concat(F.lit("\0"), "source")
+    now = starts.select(F.col("node").alias("source"), F.col("node").alias("at"), F.array().cast("array<string>").alias("hops"), F.lit(False).alias("loop"))
+    done, n = [], 0
+    while True:
+        for _ in range(min(every, most - n)):
+            to, seen = F.col("to"), F.array_contains("hops", F.col("to")) | (F.col("to") == F.col("source"))
+            now = now.join(steps.select("at", "to"), "at", "left").select(
+                "source", F.when(to.isNull() | seen, aside).otherwise(to).alias("at"), F.when(to.isNull(), F.col("hops")).otherwise(F.concat("hops", F.array("to"))).alias("hops"),
+                (F.col("loop") | F.coalesce(seen, F.lit(False))).alias("loop"),
+            )
+            n += 1
+        now, _ = stored(spark, now, "walk")
+        ended = (F.col("at") == aside) | F.lit(n >= most)
+        done.append(now.where(ended).select("source", "hops", "loop"))
+        now = now.where(~ended)
         if not now.limit(1).count():
             break
     out = done[0]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from siteglass import schemas
 from siteglass.config import DEFAULT
 from siteglass.functions import indexability, robots, text, urls
-from siteglass.operators import checks, crawl, extract, frontier, graph, neardup, sets, structured
+from siteglass.operators import checks, crawl, extract, frontier, graph, neardup, registry, sets, structured
 from siteglass.plans import compare, scorecard, surface, views
 from siteglass.sources import html, sinks
 from siteglass.streaming import ingest
@@ -673,5 +673,61 @@ def json_properties(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.element_at(F.from_json("props", "map<string,string>"), F.get(keys, F.lit(0))).alias("first_prop"), F.size(keys).alias("n"))
 
 
+@query(f"""WITH p AS ({SIMPLE}), a AS (SELECT *, state NOT IN ('blocked_robots', 'error') AS ok FROM p) SELECT count(*) AS total, count(*) FILTER (WHERE scope = 'internal') AS internal, count(*) FILTER (WHERE ok AND status_code // 100 = 2) AS status_2xx, count(*) FILTER (WHERE ok AND status_code // 100 = 3) AS status_3xx,
+  count(*) FILTER (WHERE ok AND status_code // 100 = 4) AS status_4xx, count(*) FILTER (WHERE ok AND status_code // 100 = 5) AS status_5xx, count(*) FILTER (WHERE state = 'blocked_robots') AS blocked, count(*) FILTER (WHERE state = 'error') AS errors,
+  count(*) FILTER (WHERE scope = 'internal' AND indexable) AS indexable, count(*) FILTER (WHERE scope = 'internal' AND NOT indexable) AS non_indexable, round(avg(CASE WHEN scope = 'internal' AND page_id % 5 > 0 THEN page_id % 5 END), 6) AS avg_link_score FROM a""")
+def dashboard(spark, sf_dir):
+    rows = simple_pages(spark, sf_dir).withColumn("link_score", (F.col("page_id") % 5).cast("double"))
+    return views.dashboard(rows).withColumn("avg_link_score", F.round("avg_link_score", 6))
+
+
+@query(f"""WITH p AS ({SIMPLE}) SELECT url, issue, detail FROM (SELECT url, CASE WHEN state = 'blocked_robots' THEN CASE WHEN scope = 'internal' THEN 'internal_blocked_robots' END WHEN state = 'error' THEN scope || '_no_response' WHEN status_code >= 500 THEN scope || '_server_error'
+  WHEN status_code >= 400 THEN scope || '_client_error' WHEN status_code >= 300 AND scope = 'internal' THEN 'internal_redirect' END AS issue, CASE WHEN state = 'blocked_robots' THEN 'matched robots.txt line 0' WHEN state = 'error' OR status_code < 400 THEN '' ELSE 'OK' END AS detail FROM p) WHERE issue IS NOT NULL""")
+def response_issues(spark, sf_dir):
+    return checks.exploded(crawl.defaulted(simple_pages(spark, sf_dir)), checks.response_rules())
+
+
+@query(f"""WITH p AS ({SIMPLE}) SELECT url, unnest(['security_missing_hsts', 'security_missing_csp', 'security_missing_content_type_options', 'security_missing_x_frame_options', 'security_missing_referrer_policy']) AS issue, '' AS detail FROM p
+WHERE scope = 'internal' AND state = 'crawled' AND url LIKE 'https://%' AND status_code BETWEEN 200 AND 299 UNION ALL SELECT url, 'security_http_url', '' FROM p WHERE scope = 'internal' AND state = 'crawled' AND url NOT LIKE 'https://%'""")
+def insecure_content(spark, sf_dir):
+    return views.by_prefix(checks.row_issues(crawled(spark, sf_dir)), "security_")
+
+
+@query(f"SELECT url, {TITLE} AS title, CAST(length({TITLE}) AS VARCHAR) AS length, CAST({width_sql(TITLE, 20.0)} AS VARCHAR) AS pixel_width, '1' AS count FROM pages")
+def tab_titles(spark, sf_dir):
+    return views.tab(crawl.defaulted(facts(spark, sf_dir)), "titles").drop("indexability_status")
+
+
+@query(f"SELECT DISTINCT url, regexp_replace(regexp_replace(url, '^http://([^/]*):80(/|$)', 'http://\\1\\2'), '^http:', 'https:') AS redirect_url FROM pages WHERE url LIKE 'http://%' AND ({AUTHORITY} = 'example.com' OR {AUTHORITY} LIKE '%.example.com')")
+def hsts_upgrades(spark, sf_dir):
+    hosts = spark.createDataFrame([("example.com", True), ("example.net", False)], "host string, include_subdomains boolean")
+    return registry.https_upgrades(table(spark, sf_dir, "pages"), hosts)
+
+
+@query(f"""SELECT raw, anchor FROM (SELECT regexp_extract(a, 'href="([^"]*)"', 1) AS raw, trim({DECODED.format("regexp_extract(a, '>([^<]*)<', 1)")}) AS anchor FROM ({ANCHORS}) WHERE page_id = 7)""")
+def page_outlinks(spark, sf_dir):
+    pages = facts(spark, sf_dir)
+    url = table(spark, sf_dir, "pages").where("page_id = 7").select("url").first()[0]
+    return views.page_detail(pages.where("page_id = 7"), url)[0].select("raw", "anchor")
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS url, CASE WHEN page_id % 4 = 0 THEN 'en' WHEN page_id % 4 = 1 THEN 'fr' ELSE 'xx' END AS lang, CAST(CASE WHEN page_id % 4 = 2 THEN page_id + 2 ELSE page_id END AS VARCHAR) AS target FROM pages WHERE page_id % 4 < 3 UNION ALL SELECT CAST(page_id AS VARCHAR), 'fr-CA', CAST(page_id + 1 AS VARCHAR) FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT CAST(page_id AS VARCHAR), lang, CAST(page_id - 1 AS VARCHAR) FROM pages, (VALUES ('en'), ('x-default')) v(lang) WHERE page_id % 4 = 1")
+def tab_hreflang(spark, sf_dir):
+    return views.tab(annotated(spark, sf_dir), "hreflang")
+
+
+@query("WITH c AS (SELECT page_id AS i FROM pages WHERE page_id % 8 = 1) SELECT CAST(i AS VARCHAR) AS url, CAST(i + 8 AS VARCHAR) AS canonical, '1' AS count FROM c UNION ALL SELECT CAST(page_id AS VARCHAR), '', '0' FROM pages WHERE page_id % 8 <> 1")
+def tab_canonicals(spark, sf_dir):
+    return views.tab(annotated(spark, sf_dir), "canonicals").select("url", "canonical", "count")
+
+
+@query("""WITH RECURSIVE s AS (SELECT page_id AS a, page_id + 8 AS t FROM pages WHERE page_id % 8 = 1), w(source, cur, n) AS (SELECT a, t, 1 FROM s UNION ALL SELECT w.source, s.t, n + 1 FROM w JOIN s ON s.a = w.cur WHERE n < 26)
+SELECT CAST(source AS VARCHAR) AS source, max(n) AS hops, CAST(max(cur) AS VARCHAR) AS last FROM w GROUP BY source HAVING max(n) >= 2""")
+def canonical_chains(spark, sf_dir):
+    pages = annotated(spark, sf_dir)
+    rows = graph.chains(spark, graph.canonical_steps(pages), pages)
+    return rows.select("source", F.col("n_hops").alias("hops"), F.element_at("hops", -1).alias("last"))
+
+
 for _name, _sql in surface.STATEMENTS.items():
     QUERIES[_name], SQL[_name] = surface.runner(_sql), _sql
