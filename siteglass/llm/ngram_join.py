@@ -30,7 +30,7 @@ WORDS, COORDINATES, DEPTH, BUCKET = 5, 64, 3, 64
 BLOCK_DOCS, BLOCK_SHINGLES, BLOOM_BITS = 256, 300_000, 1 << 24
 SEEDS = np.random.default_rng(20180610).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 MIX = np.random.default_rng(5).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
-CODES = BoundedCache(500_000)
+CODES = BoundedCache(150_000)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
