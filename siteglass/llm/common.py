@@ -48,17 +48,19 @@ def components(spark: SparkSession, edges: DataFrame, label: str) -> tuple[DataF
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014). Each round's edges are written to the
     shared folder, so a lost executor costs one round at most, and no vertex's neighbours are ever gathered in a task:
-    both steps need a minimum by key and a join only.
+    both steps need a minimum by key and a join only. The join is on a struct of the key, so that the minima are shuffled
+    once more and Spark can split the partition of a node with very many edges.
     """
+    key = F.struct("a").alias("k")
     now, path = stored(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     seen = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select(key, F.least("a", "m").alias("m"))
+        large = both.where("b > a").select(key, "b").join(low, "k").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.where("a > b").distinct()
-        low2 = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low2, "a").select(F.col("b").alias("x"), "m", "a")
+        low2 = down.groupBy("a").agg(F.min("b").alias("m")).select(key, "m")
+        small = down.select(key, "b").join(low2, "k").select(F.col("b").alias("x"), "m", F.col("k.a").alias("a"))
         step = small.where("x > m").select(F.col("x").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct()
         after, fresh = stored(spark, step, label)
         mark = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
