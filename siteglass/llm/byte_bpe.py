@@ -21,11 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteglass.llm.common import BoundedCache
+from siteglass.llm.common import BoundedCache, small_batches
 
 LONG = 256
 NONE = np.int64(1) << 40
-CACHE = 400_000
+CACHE = 150_000
 OUT_BYTES = 8 << 20
 
 
@@ -199,6 +199,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     repeated rows too; other columns are not carried, so their names can't clash. ``path`` must exist on executors.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import weakref
+from typing import ClassVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteglass.storage import discard, new_path, open_path, shared_dir, stored
 
-__all__ = ["BoundedCache", "components", "discard", "join_checked", "new_path", "open_path", "shared_dir", "stored", "table", "words_of"]
+__all__ = ["BoundedCache", "components", "discard", "join_checked", "new_path", "open_path", "shared_dir", "small_batches", "stored", "table", "words_of"]
 
 #: Bytes outside words become blanks and A-Z become a-z; bytes of non-ASCII characters stay.
 WORD_BYTES = bytes(
@@ -21,18 +24,31 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode().translate(WORD_BYTES).split()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches have at most so many rows, as texts are long: a worker and the JVM each hold a batch or two."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 class BoundedCache(dict):
-    """A dictionary that is emptied once it holds more than ``most`` entries."""
+    """A dictionary that is emptied once it holds more than ``most`` entries, or when another one of its worker is in use."""
+
+    alive: ClassVar[list[weakref.ref]] = []
 
     def __init__(self, most: int):
         super().__init__()
         self.most = most
+        self.alive.append(weakref.ref(self))
 
     def make_room(self) -> None:
+        for ref in self.alive:
+            if (other := ref()) is not None and other is not self:
+                other.clear()
         if len(self) > self.most:
             self.clear()
 

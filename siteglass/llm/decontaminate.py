@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteglass.llm.common import WORD_BYTES, words_of
+from siteglass.llm.common import WORD_BYTES, small_batches, words_of
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,6 +129,7 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
 
 def _scan(spark: SparkSession, docs: DataFrame, items: list, window: int) -> DataFrame:
     table = spark.sparkContext.broadcast(Windows(items, window))
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.value
@@ -159,6 +160,7 @@ def remove(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: i
 
     All columns stay, n_chars (if there) follows the new text. Null texts stay as they are.
     """
+    small_batches(spark)
     out = docs
     for items in slices(benchmark, most_bytes):
         table = spark.sparkContext.broadcast(Windows(items, window))

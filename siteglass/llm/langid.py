@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from siteglass.llm.byte_bpe import groups_by_bytes
 from siteglass.llm.charlm import Tables, merged, score
-from siteglass.llm.common import BoundedCache
+from siteglass.llm.common import BoundedCache, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 NO_LANGUAGE = "und"
@@ -134,6 +134,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Identifier | None = No
     the text is used. Repeated rows each give a row; other columns are not carried.
     """
     shared = spark.sparkContext.broadcast(model or train(spark, docs))
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteglass.llm.byte_bpe import groups_by_bytes
+from siteglass.llm.common import small_batches
 
 RATE, FRAME, HOP, BLOCK, PEAKS, FAN, REACH = 8000, 256, 128, 4096, 2, 3, 16
 HANN = np.hanning(FRAME).astype(np.float64)
@@ -96,6 +97,7 @@ def features(docs: DataFrame) -> DataFrame:
 
 def _map(docs: DataFrame, id_col: str, text_col: str, schema: str, row, types: list) -> DataFrame:
     id_type = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

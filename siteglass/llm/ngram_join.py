@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteglass.llm.byte_bpe import groups_by_bytes
-from siteglass.llm.common import BoundedCache, components, discard, stored, words_of
+from siteglass.llm.common import BoundedCache, components, discard, small_batches, stored, words_of
 
 WORDS, COORDINATES, DEPTH, BUCKET = 5, 64, 3, 64
 BLOCK_DOCS, BLOCK_SHINGLES, BLOOM_BITS = 256, 300_000, 1 << 24
@@ -247,6 +247,7 @@ def join(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, recall: f
     Repeated rows count as documents of equal text; a null doc_id is never a class_id but has one. Other columns are not
     carried.
     """
+    small_batches(spark)
     rows, _ = stored(spark, embedded(docs), "sets")
     nodes = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     # 60 bits of the id name a node among candidates; two sets that share it would only meet in one component

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteglass.llm.common import discard, stored
+from siteglass.llm.common import discard, small_batches, stored
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -157,6 +157,7 @@ def accepted_patterns(spark: SparkSession, seen: DataFrame, rounds: int = 3, lea
 def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, base and spans, both arrays of (start, kind, end) by start and kind, and row, a key of
     doc_id and text. Null and empty texts have none; repeated rows each give a row; other columns are not carried."""
+    small_batches(spark)
     rows, _ = stored(spark, observe(docs), "observed")
     seen = rows.select("row", F.explode("seen").alias("s"))
     good, _ = accepted_patterns(spark, seen)

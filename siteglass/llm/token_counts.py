@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteglass.llm.byte_bpe import groups_by_bytes
-from siteglass.llm.common import BoundedCache
+from siteglass.llm.common import BoundedCache, small_batches
 
 BATCH_BYTES = 1 << 18
 MARK = "▁"
@@ -76,6 +76,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
     Null counts as empty: no bytes, no tokens. Repeated rows each give a row. Other columns are not carried.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path).count

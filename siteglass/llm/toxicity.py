@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteglass.llm.byte_bpe import groups_by_bytes
-from siteglass.llm.common import join_checked, stored
+from siteglass.llm.common import join_checked, small_batches, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 GRADES = 4
@@ -105,6 +105,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_docs:
     sizes = {r[0]: r[1] for r in known.groupBy((F.col("toxic") > 0).alias("bad")).count().collect()}
     if len(sizes) < 2:
         return Ordinal([], np.zeros(0), np.array([50.0, 60.0, 70.0]))
+    small_batches(spark)
     part = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20))
     share = F.when(F.col("toxic") > 0, min(1.0, sample_docs / 2 / sizes[True])).otherwise(min(1.0, sample_docs / 2 / sizes[False]))
     chosen = known.where(part < share * (1 << 20))
@@ -123,7 +124,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_docs:
                 for w in set(words(text)):
                     found |= grams(w)
                 (bad if toxic else good).update(found)
-                if len(bad) + len(good) > 400_000:
+                if len(bad) + len(good) > 200_000:
                     yield out()
                     bad.clear()
                     good.clear()
@@ -167,6 +168,7 @@ def rate(spark: SparkSession, docs: DataFrame, model: Ordinal, keep: str = "all"
     """keep 'all': rows (doc_id, severity, grade, toxic) for each row of docs; 'clean': the rows of docs, all their
     columns, that are not toxic. Null and empty texts have no features and are clean; repeated rows are rated alike."""
     shared = spark.sparkContext.broadcast(model)
+    small_batches(spark)
     whole = keep == "clean"
     picked = docs if whole else docs.select("doc_id", "text")
     at = picked.columns.index("text")
