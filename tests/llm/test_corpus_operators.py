@@ -142,6 +142,24 @@ def test_quality_keeps_clean_text(spark):
     assert [r.keep for r in sorted(none, key=lambda r: r.doc_id)] == [True] * 81 + [False] * 2
 
 
+def test_quality_recall_on_hidden_labels(spark):
+    """Recall of quality 0 and loss of quality 1 by labels that the operator isn't given."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    hidden = "pmod(crc32(cast(cast(doc_id AS string) AS binary)), 2) = 0"
+    got = kn_quality.classify(spark, docs, labels.where(f"NOT {hidden}"))
+    got = got.join(labels.where(hidden).select("doc_id", "quality"), "doc_id").toPandas()
+    bad, good = got[got["quality"] == 0], got[got["quality"] == 1]
+    assert (~bad["keep"]).mean() > 0.85 and (~good["keep"]).mean() < 0.15
+
+
+def test_limits_reject_both_ends():
+    good, bad = np.linspace(5, 6, 200), np.array([1.0, 1.1, 1.2, 9.0, 20.0, 300.0])
+    low, high = kn_quality.limits(good, bad, 0.998)
+    assert 1.2 < low <= 5 and 6 <= high < 9
+    assert kn_quality.limits(good, bad[:0], 1.0) == (0.0, 6.0)
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = langid.identify(spark, docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
