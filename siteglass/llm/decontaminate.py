@@ -3,7 +3,7 @@
 Words are those of :func:`siteglass.llm.common.words_of`. An item's windows are its runs of ``window`` words; an item of
 fewer words, but not none, is one window. The set of windows is broadcast only while the benchmark's texts stay under
 ``most_bytes``; a larger benchmark is cut in slices of that size by hash of item, and the documents are scanned once for
-each slice. A document word that no item has ends a run, so only runs of benchmark words are hashed; every hash hit is
+each slice, whose hits are united by row before anything is cut or judged. A document word that no item has ends a run, so only runs of benchmark words are hashed; every hash hit is
 verified word by word.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteglass.llm.common import WORD_BYTES, small_batches, words_of
+from siteglass.llm.common import WORD_BYTES, discard, small_batches, stored, words_of
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -74,36 +74,42 @@ class Windows:
 
     def cut(self, text: str | None) -> tuple[str | None, float]:
         """The text without its hit runs, each replaced by a line break, until no window occurs; and the share of words hit."""
-        if text is None:
-            return None, 0.0
         first = gone = 0
         while True:
-            raw = text.encode()
-            plain = raw.translate(WORD_BYTES)
-            words = plain.split()
+            words = words_of(text)
             first = first or len(words)
             hit, _ = self.scan(words)
             if not hit.any():
                 return text, gone / max(first, 1)
             gone += int(hit.sum())
-            at, spans = 0, []
-            for w in words:
-                at = plain.index(w, at)
-                spans.append((at, at := at + len(w)))
-            out, last = [], 0
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-            for a, b in edges.reshape(-1, 2).tolist():
-                out += [raw[last : spans[a][0]], b"\n"]
-                last = spans[b - 1][1]
-            text = b"".join([*out, raw[last:]]).decode()
-
-
-def slices(benchmark: DataFrame, most_bytes: int) -> list[list[tuple[int, str | None]]]:
-    """The benchmark's items in lists of about most_bytes at most; a list is fetched and used before the next."""
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // most_bytes) or 1
+            text = cut_at(text, hit)
+
+
+def cut_at(text: str, hit: np.ndarray) -> str:
+    """The text with each run of hit words replaced by a line break."""
+    raw = text.encode()
+    plain = raw.translate(WORD_BYTES)
+    at, spans = 0, []
+    for w in plain.split():
+        at = plain.index(w, at)
+        spans.append((at, at := at + len(w)))
+    out, last = [], 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+    for a, b in edges.reshape(-1, 2).tolist():
+        out += [raw[last : spans[a][0]], b"\n"]
+        last = spans[b - 1][1]
+    return b"".join([*out, raw[last:]]).decode()
+
+
+def slice_count(benchmark: DataFrame, most_bytes: int) -> int:
+    return -(-(benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // most_bytes) or 1
+
+
+def slices(benchmark: DataFrame, n: int) -> Iterator[list[tuple[int, str | None]]]:
+    """The benchmark's items in n lists, of which one at a time is fetched."""
     part = F.pmod(F.xxhash64("item_id"), F.lit(n))
-    return [[tuple(r) for r in benchmark.where(part == i).select("item_id", "text").collect()] for i in range(n)]
+    for i in range(n):
+        yield [tuple(r) for r in benchmark.where(part == i).select("item_id", "text").collect()]
 
 
 def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 10, most_bytes: int = 4 << 20) -> DataFrame:
@@ -113,11 +119,11 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
     give a row. An empty benchmark hits nothing. With more than one slice rows are joined by doc_id, so that doc_id must
     then be unique; hits in a word are counted from the union of positions.
     """
-    parts = slices(benchmark, most_bytes)
-    if len(parts) == 1:
-        return _scan(spark, docs, parts[0], window).select("doc_id", "n_words", F.size("places").cast("long").alias("n_hit"), "items")
+    n = slice_count(benchmark, most_bytes)
+    if n == 1:
+        return _scan(spark, docs, next(slices(benchmark, n)), window).select("doc_id", "n_words", F.size("places").cast("long").alias("n_hit"), "items")
     found = None
-    for items in parts:
+    for items in slices(benchmark, n):
         one = _scan(spark, docs, items, window)
         found = one if found is None else found.union(one)
     return found.groupBy("doc_id").agg(
@@ -158,26 +164,66 @@ def report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: i
 def remove(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 10, drop_share: float = 0.5, most_bytes: int = 4 << 20) -> DataFrame:
     """docs with hit spans cut out of text; rows of which drop_share of the words or more are hit go.
 
-    All columns stay, n_chars (if there) follows the new text. Null texts stay as they are.
+    All columns stay, n_chars (if there) follows the new text. Null texts stay as they are. The number of slices doesn't
+    change the result: each round cuts at the union of all slices' hits, and rounds go on until no slice hits.
     """
     small_batches(spark)
-    out = docs
-    for items in slices(benchmark, most_bytes):
-        table = spark.sparkContext.broadcast(Windows(items, window))
-        schema, at = out.schema, out.columns.index("text")
-
-        def run(batches: Iterator[pa.RecordBatch], table=table, at=at) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                got = [table.value.cut(t) for t in batch.column(at).to_pylist()]
-                stays = pa.array([share < drop_share for _, share in got], pa.bool_())
-                yield batch.set_column(at, batch.schema.field(at), pa.array([t for t, _ in got], batch.schema.field(at).type)).filter(stays)
-
-        out = out.mapInArrow(run, schema)
-        if "n_chars" in out.columns:
-            out = out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType))
+    n = slice_count(benchmark, most_bytes)
+    out = _remove_at_once(spark, docs, next(slices(benchmark, n)), window, drop_share) if n == 1 else _remove_by_slices(spark, docs, benchmark, n, window, drop_share)
+    if "n_chars" in out.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType))
     return out
 
 
+def _remove_at_once(spark: SparkSession, docs: DataFrame, items: list, window: int, drop_share: float) -> DataFrame:
+    table = spark.sparkContext.broadcast(Windows(items, window))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [table.value.cut(t) for t in batch.column(at).to_pylist()]
+            stays = pa.array([share < drop_share for _, share in got], pa.bool_())
+            yield batch.set_column(at, batch.schema.field(at), pa.array([t for t, _ in got], batch.schema.field(at).type)).filter(stays)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _remove_by_slices(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int, window: int, drop_share: float) -> DataFrame:
+    """Rows get a stored key, as documents may repeat or lack an id; rows without hits are not scanned again."""
+    now, path = stored(spark, docs.select("*", F.monotonically_increasing_id().alias("_row"), F.lit(0).cast("long").alias("_first"), F.lit(0).cast("long").alias("_gone"), F.lit(True).alias("_open")), "rows")
+    while True:
+        found, paths = None, []
+        for items in slices(benchmark, n):
+            scanned = _scan(spark, now.where("_open").select(F.col("_row").alias("doc_id"), "text"), items, window).where(F.size("places") > 0)
+            one, one_path = stored(spark, scanned.select(F.col("doc_id").alias("_row"), "n_words", "places"), "hits")
+            found = one if found is None else found.union(one)
+            paths.append(one_path)
+        if not found.limit(1).count():
+            discard(spark, *paths)
+            break
+        places = found.groupBy("_row").agg(F.max("n_words").alias("_words"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("_places"))
+        joined = now.join(places, "_row", "left").select(*now.columns, "_words", "_places")
+        schema, at = joined.schema, joined.columns.index("text")
+
+        def run(batches: Iterator[pa.RecordBatch], at=at) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = []
+                for text, size, hit_at in zip(batch.column(at).to_pylist(), batch.column("_words").to_pylist(), batch.column("_places").to_pylist(), strict=True):
+                    if hit_at:
+                        hit = np.zeros(size, bool)
+                        hit[hit_at] = True
+                        text = cut_at(text, hit)
+                    texts.append(text)
+                yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+        cut = joined.mapInArrow(run, schema)
+        hit = F.col("_places").isNotNull()
+        first = F.when(hit & (F.col("_first") == 0), F.col("_words")).otherwise(F.col("_first"))
+        gone = F.col("_gone") + F.when(hit, F.size("_places")).otherwise(0)
+        after, fresh = stored(spark, cut.select(*docs.columns, "_row", first.alias("_first"), gone.alias("_gone"), hit.alias("_open")), "rows")
+        discard(spark, path, *paths)
+        now, path = after, fresh
+    return now.where(F.col("_gone") / F.greatest("_first", F.lit(1)) < drop_share).select(*docs.columns)
 
 
 SQL = r"""

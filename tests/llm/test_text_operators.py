@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import tiktoken
+from pyspark.sql import functions as F
 from siteglass.llm import byte_bpe, decontaminate, media, pii, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string"
@@ -82,6 +83,21 @@ def test_decontamination_equals_brute_force(spark, most_bytes):
     assert all(not brute_hits(t, items, 4)[1] for t in left.values()) and len(left) == len(texts)
 
 
+def test_removal_is_the_same_with_slices(spark):
+    """Shares are judged on all slices' hits, overlapping windows go whole, and cuts that form a window are cut again."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("a b c d e f".split()) for _ in range(n))
+    items = [(i, text(rng.randint(3, 9))) for i in range(12)] + [(50, "p1 p2 p3 p4"), (51, "q1 q2 q3 q4"), (52, "o1 o2 o3 o4 o5"), (53, "o3 o4 o5 o6 o7"), (54, "r1 r2 r3 r4")]
+    odd = ["p1 p2 p3 p4 x x x q1 q2 q3 q4 x x x", "o1 o2 o3 o4 o5 o6 o7 " + "y " * 9, "z " * 12 + "r1 r2 p1 p2 p3 p4 r3 r4", None, "", "..."]
+    texts = odd + [text(rng.randint(0, 60)) for _ in range(40)]
+    docs = frame(spark, texts).unionByName(frame(spark, texts[:9])).unionByName(frame(spark, odd).withColumn("doc_id", F.lit(None).cast("long")))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole, cut = (decontaminate.remove(spark, docs, bench, window=4, most_bytes=m).collect() for m in (4 << 20, 60))
+    assert sorted(map(repr, cut)) == sorted(map(repr, whole)) and 0 < len(whole) < docs.count()
+    kept = {r.doc_id: r for r in cut}
+    assert 0 not in kept and kept[1].text.split() == ["y"] * 9 and kept[2].text.split() == ["z"] * 12 and kept[2].n_chars == len(kept[2].text)
+
+
 def test_decontamination_without_items(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in decontaminate.report(spark, frame(spark, ["a b"]), empty).collect()] == [False]
