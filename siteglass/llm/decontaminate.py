@@ -116,21 +116,23 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
     """Per row of docs: doc_id, n_words, n_hit, items (item_ids with occurring windows, ascending).
 
     Null texts have no words, of a document or an item; repeated items count once by item_id, repeated documents each
-    give a row. An empty benchmark hits nothing. With more than one slice rows are joined by doc_id, so that doc_id must
-    then be unique; hits in a word are counted from the union of positions.
+    give a row, as do null ids. An empty benchmark hits nothing. With more than one slice rows are stored with a key, by
+    which the slices' positions and items are united.
     """
     n = slice_count(benchmark, most_bytes)
     if n == 1:
         return _scan(spark, docs, next(slices(benchmark, n)), window).select("doc_id", "n_words", F.size("places").cast("long").alias("n_hit"), "items")
+    rows, _ = stored(spark, docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "rows")
     found = None
     for items in slices(benchmark, n):
-        one = _scan(spark, docs, items, window)
+        one = _scan(spark, rows.select(F.col("row").alias("doc_id"), "text"), items, window)
         found = one if found is None else found.union(one)
-    return found.groupBy("doc_id").agg(
+    united = found.withColumnRenamed("doc_id", "row").groupBy("row").agg(
         F.max("n_words").alias("n_words"),
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
+    return rows.select("row", "doc_id").join(united, "row").select("doc_id", "n_words", "n_hit", "items")
 
 
 def _scan(spark: SparkSession, docs: DataFrame, items: list, window: int) -> DataFrame:

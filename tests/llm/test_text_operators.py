@@ -83,6 +83,14 @@ def test_decontamination_equals_brute_force(spark, most_bytes):
     assert all(not brute_hits(t, items, 4)[1] for t in left.values()) and len(left) == len(texts)
 
 
+def test_hits_of_repeated_rows_and_null_ids_with_slices(spark):
+    rows = [(1, "p1 p2 p3"), (1, "p1 p2 p3"), (1, "y q1 q2 q3"), (None, "q1 q2 q3"), (None, "x p1 p2 p3 x"), (None, None), (2, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "p1 p2 p3"), (2, "q1 q2 q3"), (3, "r1 r2 r3")], "item_id long, text string")
+    whole, cut = (sorted(map(repr, decontaminate.hits(spark, docs, bench, window=3, most_bytes=m).collect())) for m in (4 << 20, 5))
+    assert cut == whole and len(cut) == len(rows)
+
+
 def test_removal_is_the_same_with_slices(spark):
     """Shares are judged on all slices' hits, overlapping windows go whole, and cuts that form a window are cut again."""
     rng = random.Random(5)
