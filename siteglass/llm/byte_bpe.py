@@ -3,14 +3,14 @@
 Text is cut by the tokenizer's pattern. The distinct pieces of a batch, less those a bounded cache knows, are put in
 buckets by length; each bucket is a padded matrix of symbols in which every row merges its leftmost pair of least rank
 in each round. Ranks of pairs come from an open-addressing hash table in numpy. Rows without a pair left are written out
-and the matrix is compacted. Pieces over ``LONG`` bytes, whose matrices would be wide, go through a heap of pairs that
-gives the same merges in n log n steps.
+and the matrix is compacted. A piece over ``LONG`` bytes is a matrix of one row, in which a round does at once all the
+merges of the least rank, from left to right, that single merges would do one after the other: up to the first that makes
+a pair of a lesser rank.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -79,7 +79,7 @@ class ByteBpe:
                 a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if a is not None and b is not None:
                     pairs[a, b] = rank
-        self.pairs, self.table = pairs, PairTable(pairs)
+        self.table = PairTable(pairs)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.cache = BoundedCache(CACHE)
 
@@ -123,27 +123,30 @@ class ByteBpe:
             m, ranks = m[:, :used], ranks[:, : max(used - 1, 0)]
         return out
 
-    def merge_heap(self, piece: bytes) -> bytes:
-        """The same merges for one long piece: a heap of (rank, place) over a linked list."""
-        ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(r, i) for i in range(n - 1) if (r := self.pairs.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i]
-            if j < 0 or ids[i] < 0 or self.pairs.get((ids[i], ids[j])) != rank:
-                continue
-            ids[i], ids[j], k = rank, -1, after[j]
-            after[i] = k
-            if k >= 0:
-                before[k] = i
-                if (r := self.pairs.get((rank, ids[k]))) is not None:
-                    heapq.heappush(heap, (r, i))
-            if (p := before[i]) >= 0 and (r := self.pairs.get((ids[p], rank))) is not None:
-                heapq.heappush(heap, (r, p))
-        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+    def merge_row(self, piece: bytes) -> bytes:
+        """The same for one long piece: a round does all merges of the least rank, of overlapping ones the left."""
+        m = self.byte[np.frombuffer(piece, np.uint8)]
+        ranks = self.table.find(m[:-1], m[1:])
+        while len(ranks) and (best := ranks.min()) < NONE:
+            at = np.flatnonzero(ranks == best)
+            opens = np.concatenate([[True], np.diff(at) > 1])
+            since = np.arange(len(at)) - np.maximum.accumulate(np.where(opens, np.arange(len(at)), 0))
+            at = at[since % 2 == 0]
+            ends = np.concatenate([[-1], m, [-1]])
+            left = np.where(np.diff(at, prepend=-3) == 2, best, ends[at])
+            made = np.full(len(at), best)
+            less = (self.table.find(left, made) < best) | (self.table.find(made, ends[at + 3]) < best)
+            if less.any():
+                at = at[: less.argmax() + 1]
+            m[at] = best
+            gone = np.zeros(len(m), bool)
+            gone[at + 1] = True
+            m, ranks = m[~gone], ranks[~gone[:-1]][: len(m) - len(at) - 1]
+            at = at - np.arange(len(at))
+            near = np.unique(np.concatenate([at - 1, at]))
+            near = near[(near >= 0) & (near < len(m) - 1)]
+            ranks[near] = self.table.find(m[near], m[near + 1])
+        return m.astype("<u4").tobytes()
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         out, buckets = {}, {}
@@ -152,7 +155,7 @@ class ByteBpe:
             if (whole := self.ranks.get(raw)) is not None:
                 out[piece] = whole.to_bytes(4, "little")
             elif len(raw) > LONG:
-                out[piece] = self.merge_heap(raw)
+                out[piece] = self.merge_row(raw)
             else:
                 buckets.setdefault((len(raw) + 3) // 4, []).append((piece, raw))
         for rows in buckets.values():
@@ -167,7 +170,8 @@ class ByteBpe:
         self.cache.make_room()
         fresh = {p for pieces in cut for p in pieces if p not in self.cache}
         if fresh:
-            self.cache.update(self.encode_pieces(list(fresh)))
+            found = self.encode_pieces(list(fresh))
+            self.cache.keep(list(found), found.values())
         known = self.cache.__getitem__
         return [b"".join(map(known, pieces)) for pieces in cut]
 

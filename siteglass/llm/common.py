@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import weakref
+from collections.abc import Iterable
 from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siteglass.storage import discard, new_path, open_path, shared_dir, stored
 
-__all__ = ["BoundedCache", "components", "discard", "join_checked", "new_path", "open_path", "shared_dir", "small_batches", "stored", "table", "words_of"]
+__all__ = ["BoundedCache", "components", "discard", "join_checked", "new_path", "open_path", "row_key", "shared_dir", "small_batches", "stored", "table", "words_of"]
 
 #: Bytes outside words become blanks and A-Z become a-z; bytes of non-ASCII characters stay.
 WORD_BYTES = bytes(
@@ -24,31 +25,49 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode().translate(WORD_BYTES).split()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches have at most so many rows, as texts are long: a worker and the JVM each hold a batch or two."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, most_bytes: int = 16 << 20) -> None:
+    """Bound the session's Arrow batches by rows and by bytes, as texts are long: a worker and the JVM each hold a batch or two."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)):
+        if not 0 < int(spark.conf.get(key).removesuffix("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key() -> F.Column:
+    """MD5 of doc_id and text: equal for equal rows only, null ids and texts included."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("None")), F.lit("|"), F.coalesce("text", F.lit("")))))
+
+
 class BoundedCache(dict):
-    """A dictionary that is emptied once it holds more than ``most`` entries, or when another one of its worker is in use."""
+    """A dictionary by strings that is emptied once it holds more than ``most`` entries, or when another one of its worker is in use.
 
+    Keys of more than ``LONGEST`` characters stay until room is made for the next batch, so that its bytes are bounded
+    by its entries and one batch.
+    """
+
+    LONGEST = 64
     alive: ClassVar[list[weakref.ref]] = []
 
     def __init__(self, most: int):
         super().__init__()
-        self.most = most
+        self.most, self.long = most, []
         self.alive.append(weakref.ref(self))
 
+    def keep(self, names: list, values: Iterable) -> None:
+        self.update(zip(names, values, strict=True))
+        self.long += [x for x in names if len(x) > self.LONGEST]
+
     def make_room(self) -> None:
         for ref in self.alive:
             if (other := ref()) is not None and other is not self:
                 other.clear()
+                other.long.clear()
+        for x in self.long:
+            self.pop(x, None)
+        self.long.clear()
         if len(self) > self.most:
             self.clear()
 

@@ -58,10 +58,10 @@ class Counter:
     def count(self, texts: list[str | None]) -> list[int]:
         cut = [self.parts(t) for t in texts]
         self.cache.make_room()
-        known = self.cache if self.cuts else {}
+        known = self.cache
         fresh = list({p for parts in cut for p in parts if p not in known})
         for a, b in groups_by_bytes([len(p) for p in fresh], BATCH_BYTES):
-            known.update(zip(fresh[a:b], self.lengths(fresh[a:b]), strict=True))
+            known.keep(fresh[a:b], self.lengths(fresh[a:b]))
         return [sum(map(known.__getitem__, parts)) for parts in cut]
 
 
