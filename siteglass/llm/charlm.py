@@ -1,29 +1,53 @@
-"""Interpolated Kneser-Ney models of the characters of words, in sorted arrays.
+"""Kneser-Ney models of characters, in sorted arrays.
 
-A symbol is 12 bits: a code point below 0xC00 as it is, a higher one folded into the 1024 values above; 1 opens and 2 ends
-a word. An n-gram of up to five symbols is thus one exact 64-bit key, its suffix a mask and its context a shift. A word is
-scored by itself, from its opening mark to its end, so that a text's score is a sum over its words and each distinct word
-is scored once.
+A symbol is 12 bits. A code point below 0x800 is one symbol; a higher one is two, its upper bits above 0x810 and then its
+lower eleven, so that no two texts have the same symbols. 1 opens and 2 ends a word. An n-gram of up to five symbols is one
+exact 64-bit key, its suffix a mask and its context a shift.
+
+Models of single words score a word from its opening mark to its end. Units score text across words: each unit is a
+string whose first ``LEFT`` code points are only context, and whose other symbols are scored with all of it.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 
 BITS, ORDER, OPEN, END = 12, 5, 1, 2
 SYMBOLS = 1 << BITS
+LEFT = ORDER - 1
+BLANK = chr(END)
+NARROW, UPPER = 0x800, 0x810
+
+
+def coded(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of a text, and the number of symbols of each of its code points."""
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    width = 1 + (raw >= NARROW)
+    out = np.repeat(np.where(raw < NARROW, np.maximum(raw, END), UPPER + (raw >> 11)), width)
+    at = np.cumsum(width) - 1
+    high = raw >= NARROW
+    out[at[high]] = 3 + (raw[high] & 0x7FF)
+    return out, width
+
+
+def sizes_of(words: list[str], width: np.ndarray) -> np.ndarray:
+    """Number of symbols of each word."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    total = np.concatenate([[0], np.cumsum(width)])[ends]
+    return np.diff(total, prepend=0)
 
 
 def symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of all words with their marks, the place of each in its word, and the word it is of."""
-    raw = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    raw = np.where(raw < 0xC00, np.maximum(raw, 3), 0xC00 + raw % 0x400)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    raw, width = coded("".join(words))
+    sizes = sizes_of(words, width) + 2
     starts = np.cumsum(sizes) - sizes
     out = np.empty(int(sizes.sum()), np.int64)
     inside = np.ones(len(out), bool)
     inside[starts] = inside[starts + sizes - 1] = False
-    out[inside], out[starts], out[starts + sizes - 1] = raw, OPEN, END
+    out[inside], out[starts], out[starts + sizes - 1] = np.maximum(raw, 3), OPEN, END
     return out, np.arange(len(out)) - np.repeat(starts, sizes), np.repeat(np.arange(len(words)), sizes)
 
 
@@ -118,8 +142,9 @@ def merged(models: list[Tables], order: int = ORDER) -> Tables:
     return Tables(*out)
 
 
-def score(tables, words: list[str], order: int = ORDER) -> np.ndarray:
-    """Natural log probability of each word, its end included; a column for each model if tables hold several."""
+def score(tables, words: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log probability of each word, its end included, a column for each model if tables hold several; and the
+    number of symbols scored."""
     syms, place, word = symbols(words)
     at = place >= 1
     p = None
@@ -132,4 +157,26 @@ def score(tables, words: list[str], order: int = ORDER) -> np.ndarray:
         p[use] = tables.gram(k, here[use]) + tables.context(k, here[use] >> BITS) * p[use]
     p = np.log(np.maximum(p[at], 1e-12))
     starts = np.flatnonzero(np.diff(word[at], prepend=-1))
-    return np.add.reduceat(p, starts, axis=0) if len(p) else np.zeros((0, *p.shape[1:]))
+    n = np.bincount(word[at], minlength=len(words))
+    return np.add.reduceat(p, starts, axis=0) if len(p) else np.zeros((0, *p.shape[1:])), n
+
+
+def units(words: list[str]) -> tuple[list[str], list[str]]:
+    """Units of a text's words: those that cross into a word from what is before it, and those inside longer words.
+
+    The text opens with blanks and has one after each word. Together the units score each symbol after the opening once.
+    """
+    stream = BLANK * LEFT + BLANK.join(words) + BLANK
+    starts = accumulate((len(w) + 1 for w in words), initial=0)
+    return [stream[i : i + LEFT + min(LEFT, len(w) + 1)] for i, w in zip(starts, words, strict=False)], [w + BLANK for w in words if len(w) >= LEFT]
+
+
+def unit_grams(parts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the k-grams that end at each place of the joined units, which places are scored, and the unit of each."""
+    raw, width = coded("".join(parts))
+    sizes = sizes_of(parts, width)
+    unit = np.repeat(np.arange(len(parts)), sizes)
+    opens = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) - np.fromiter(map(len, parts), np.int64, len(parts))
+    before = np.concatenate([[0], np.cumsum(width)])
+    first = before[opens + LEFT]
+    return keys(raw, k), np.arange(len(raw)) >= first[unit], unit

@@ -1,14 +1,15 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
 Models learn from a bounded sample of the labelled rows that are not held out: about ``sample_docs`` whole documents of
-each language, chosen by hash (a documented parameter; languages beyond the ``most_langs`` most frequent are left out).
-Their tables are sorted arrays with a column for each language. A text's language has the lowest cross-entropy per symbol
-over all its letters; the score is calibrated on a slice of the sample that the models don't learn from, and so is the
-cross-entropy over which a text is marked as rejected.
+each language, chosen by hash (a documented parameter), and one document of each language at least. Each language's tables
+are fitted in a task of its own; together they are sorted arrays with a column for each language. A text's language has
+the lowest cross-entropy per symbol over all its letters, of equal ones the first by name; the score is calibrated on a
+slice of the sample that the models don't learn from, and so is the cross-entropy over which a text is marked as rejected.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,6 +27,14 @@ WORD = re.compile(r"[^\W\d_]+")
 NO_LANGUAGE = "und"
 
 
+def letters(text: str | None) -> list[str]:
+    """Runs of letters of the text in lower case. Superscripts, fractions and other number signs are no letters."""
+    out = []
+    for w in WORD.findall(text.lower()) if text else ():
+        out += (w,) if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split()
+    return out
+
+
 def held_out() -> F.Column:
     """crc32 of doc_id as text leaves 2 modulo 4; a null doc_id is not held out."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -38,14 +47,14 @@ class Identifier:
 
     def costs(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Cross-entropy per symbol under each language; None for a text without letters."""
-        cut = [WORD.findall(t.lower()) if t else [] for t in texts]
+        cut = [letters(t) for t in texts]
         if not self.langs:
             return [None] * len(texts)
         self.cache.make_room()
         fresh = list({w for ws in cut for w in ws if w not in self.cache})
         for a, b in groups_by_bytes([len(w) for w in fresh], 1 << 19):
-            for w, s in zip(fresh[a:b], score(self.tables, fresh[a:b]), strict=True):
-                self.cache[w] = s
+            logs, sizes = score(self.tables, fresh[a:b])
+            self.cache.keep(fresh[a:b], np.column_stack([logs, sizes]))
         out = []
         for ws in cut:
             if not ws:
@@ -54,7 +63,7 @@ class Identifier:
             counts = Counter(ws)
             n = np.fromiter(counts.values(), np.float64, len(counts))
             total = n @ np.array([self.cache[w] for w in counts])
-            out.append(-total / (n @ np.fromiter((len(w) + 1 for w in counts), np.float64, len(counts))))
+            out.append(-total[:-1] / total[-1])
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
@@ -70,36 +79,42 @@ class Identifier:
         return out
 
 
-def train(spark: SparkSession, docs: DataFrame, sample_docs: int = 800, most_langs: int = 200) -> Identifier:
-    """An identifier from labelled rows that aren't held out; without such rows it knows no language."""
+def train(spark: SparkSession, docs: DataFrame, sample_docs: int = 800) -> Identifier:
+    """An identifier from labelled rows that aren't held out; without such rows it knows no language.
+
+    Rows without a text, a lang or a doc_id teach nothing, nor do texts without a letter.
+    """
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
+    small_batches(spark)
+    sizes = {r[0]: r[1:] for r in rows.where(F.col("text").rlike(r"\p{L}")).groupBy("lang").agg(F.count("*"), F.min("doc_id")).collect()}
     if not sizes:
         return Identifier([], None, 1.0, 0.0)
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample_docs / n)))])
+    by_lang = lambda of: F.create_map(*[x for lang, v in sizes.items() for x in (F.lit(lang), F.lit(of(*v)))])[F.col("lang")]
     part = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20))
-    sample = rows.where(F.col("lang").isin(list(sizes)) & (part < share[F.col("lang")] * (1 << 20)))
-    sample = sample.withColumn("check", F.pmod(F.xxhash64("doc_id", F.lit("check")), F.lit(10)) == 0)
+    least = F.col("doc_id") == by_lang(lambda n, low: low)
+    sample = rows.where(least | (part < by_lang(lambda n, low: min(1.0, sample_docs / n)) * (1 << 20)))
+    sample = sample.withColumn("check", ~least & (F.pmod(F.xxhash64("doc_id", F.lit("check")), F.lit(10)) == 0))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+                found.setdefault(lang, Counter()).update(letters(text))
             flat = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
     counts = sample.where("NOT check").select("lang", "text").mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    got = counts.toPandas()
-    langs, models = [], []
-    for lang in sorted(sizes):
-        own = got[got["lang"] == lang]
-        if len(own):
-            langs.append(lang)
-            models.append(Tables.train(own["word"].tolist(), own["n"].to_numpy(np.int64)))
-    if not langs:
+
+    def fitted(own: pa.Table) -> pa.Table:
+        order = own.sort_by("word")
+        tables = Tables.train(order["word"].to_pylist(), order["n"].to_numpy())
+        return pa.table({"lang": order["lang"].slice(0, 1), "tables": pa.array([pickle.dumps(tables)], pa.binary())})
+
+    got = {r[0]: pickle.loads(r[1]) for r in counts.groupBy("lang").applyInArrow(fitted, "lang string, tables binary").collect()}
+    if not got:
         return Identifier([], None, 1.0, 0.0)
-    plain = Identifier(langs, merged(models), 1.0, np.inf)
+    langs = sorted(got)
+    plain = Identifier(langs, merged([got[x] for x in langs]), 1.0, np.inf)
     shared = spark.sparkContext.broadcast(plain)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
