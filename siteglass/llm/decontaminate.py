@@ -2,9 +2,10 @@
 
 Words are those of :func:`siteglass.llm.common.words_of`. An item's windows are its runs of ``window`` words; an item of
 fewer words, but not none, is one window. The set of windows is broadcast only while the benchmark's texts stay under
-``most_bytes``; a larger benchmark is cut in slices of that size by hash of item, and the documents are scanned once for
-each slice, whose hits are united by row before anything is cut or judged. A document word that no item has ends a run, so only runs of benchmark words are hashed; every hash hit is
-verified word by word.
+``most_bytes``; a larger benchmark is cut in slices of that size by hash of item. Slices are fetched, broadcast, scanned and
+dropped one after the other, and their hits are united by row before anything is cut or judged, so that the result doesn't
+depend on their number. A document word that no item has ends a run, so only runs of benchmark words are hashed; every
+hash hit is verified word by word.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,11 +123,14 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
     """
     n = slice_count(benchmark, most_bytes)
     if n == 1:
-        return _scan(spark, docs, next(slices(benchmark, n)), window).select("doc_id", "n_words", F.size("places").cast("long").alias("n_hit"), "items")
+        return _scan(spark, docs, next(slices(benchmark, n)), window)[0].select("doc_id", "n_words", F.size("places").cast("long").alias("n_hit"), "items")
     rows, _ = stored(spark, docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "rows")
     found = None
     for items in slices(benchmark, n):
-        one = _scan(spark, rows.select(F.col("row").alias("doc_id"), "text"), items, window)
+        one, table = _scan(spark, rows.select(F.col("row").alias("doc_id"), "text"), items, window)
+        # every row is in the first slice's part, with its number of words
+        one, _ = stored(spark, one if found is None else one.where(F.size("places") > 0), "hits")
+        table.unpersist()
         found = one if found is None else found.union(one)
     united = found.withColumnRenamed("doc_id", "row").groupBy("row").agg(
         F.max("n_words").alias("n_words"),
@@ -135,7 +140,8 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
     return rows.select("row", "doc_id").join(united, "row").select("doc_id", "n_words", "n_hit", "items")
 
 
-def _scan(spark: SparkSession, docs: DataFrame, items: list, window: int) -> DataFrame:
+def _scan(spark: SparkSession, docs: DataFrame, items: list, window: int) -> tuple[DataFrame, Broadcast]:
+    """(doc_id, n_words, places, items) of each row for one slice, and the slice's broadcast windows."""
     table = spark.sparkContext.broadcast(Windows(items, window))
     small_batches(spark)
 
@@ -151,7 +157,7 @@ def _scan(spark: SparkSession, docs: DataFrame, items: list, window: int) -> Dat
                 owners.append(sorted(own))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(owners, pa.list_(pa.int64()))], ["doc_id", "n_words", "places", "items"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, places array<int>, items array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, places array<int>, items array<long>"), table
 
 
 def report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -196,8 +202,9 @@ def _remove_by_slices(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
     while True:
         found, paths = None, []
         for items in slices(benchmark, n):
-            scanned = _scan(spark, now.where("_open").select(F.col("_row").alias("doc_id"), "text"), items, window).where(F.size("places") > 0)
-            one, one_path = stored(spark, scanned.select(F.col("doc_id").alias("_row"), "n_words", "places"), "hits")
+            scanned, table = _scan(spark, now.where("_open").select(F.col("_row").alias("doc_id"), "text"), items, window)
+            one, one_path = stored(spark, scanned.where(F.size("places") > 0).select(F.col("doc_id").alias("_row"), "n_words", "places"), "hits")
+            table.unpersist()
             found = one if found is None else found.union(one)
             paths.append(one_path)
         if not found.limit(1).count():
