@@ -1,10 +1,12 @@
 """Personal data: base patterns, and bootstrapped contextual extraction.
 
-Base entities (e-mail, IP, card, phone) are the seeds. Every identifier-like token (4 to 64 characters with a digit or @)
-has context patterns: the two and the three words before it, the two after it, and a label such as `phone:`. Spark scores the graph of
-patterns and instances in rounds: a pattern's confidence is the mean score of its distinct instances, smoothed; an
-instance that no base pattern knows has the chance that one of its accepted patterns is right. Tokens behind patterns
-that end up accepted, with enough distinct seeds, are found as further entities of the pattern's kind.
+Base entities (e-mail, IP, card, phone) are the seeds. Every identifier-like token has context patterns: the two and the
+three words before it, the two after it, and a label such as `phone:`. Such a token has four characters or more and a
+digit, an @ or an inner dot; tokens of digits and number punctuation that only a blank parts are one. Spark scores the
+graph of patterns and instances in rounds until the accepted patterns stay the same: a pattern's confidence is the mean
+score of its distinct instances, smoothed; an instance that no base pattern knows has the chance that one of its accepted
+patterns is right. Tokens behind patterns that end up accepted, with enough distinct seeds, are found as further entities
+of the pattern's kind.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteglass.llm.common import discard, small_batches, stored
+from siteglass.llm.common import discard, join_checked, row_key, small_batches, stored
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -25,8 +27,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-HINT = re.compile(r"[0-9@]")
+HINT = re.compile(r"[0-9@]|(?<=\w)\.(?=\w)")
 SPACE = re.compile(r"\s")
+NUMBERS = re.compile(r"[()+.0-9-]*[0-9][()+.0-9-]*")
 EDGE = ".,;:!?()[]{}<>\"'`|*"
 
 
@@ -71,7 +74,7 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
 
 
 def tokens(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of identifier-like tokens: without blanks, 4 to 64 characters between edge punctuation, with a digit or @."""
+    """Spans of identifier-like tokens, without edge punctuation; a run of number tokens is one, as in (774) 555-2163."""
     last, hint = 0, HINT.search(text)
     while hint:
         p, start = hint.start(), last
@@ -79,12 +82,15 @@ def tokens(text: str) -> Iterator[tuple[int, int]]:
             start = max(start, text.rfind(c, last, p) + 1)
         m = SPACE.search(text, p)
         end = m.start() if m else len(text)
+        if NUMBERS.fullmatch(text, start, end):
+            while end < len(text) - 1 and text[end] == " " and (more := NUMBERS.match(text, end + 1)) and (more.end() == len(text) or text[more.end()].isspace() or text[more.end()] in EDGE):
+                end = more.end()
         a, b = start, end
-        while a < b and text[a] in EDGE:
+        while a < b and text[a] in EDGE and not (text[a] == "(" and ")" in text[a:b]):
             a += 1
-        while b > a and text[b - 1] in EDGE:
+        while b > a and text[b - 1] in EDGE and not (text[b - 1] == ")" and "(" in text[a:b]):
             b -= 1
-        if 4 <= b - a <= 64:
+        if b - a >= 4:
             yield a, b
         last = end
         hint = HINT.search(text, end)
@@ -132,13 +138,16 @@ def observe(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "row binary, doc_id long, base array<struct<start:int,kind:int,end:int>>, seen array<struct<start:int,kind:int,end:int,instance:long,patterns:array<string>>>")
 
 
-def accepted_patterns(spark: SparkSession, seen: DataFrame, rounds: int = 3, least_seeds: int = 5, least_confidence: float = 0.8) -> tuple[DataFrame, str]:
-    """(pattern, kind, confidence) of the patterns that the graph of patterns and instances supports; and their table's path."""
+def accepted_patterns(spark: SparkSession, seen: DataFrame, most_rounds: int = 10, least_seeds: int = 5, least_confidence: float = 0.8) -> tuple[DataFrame, str]:
+    """(pattern, kind, confidence) of the patterns that the graph of patterns and instances supports; and their table's path.
+
+    Rounds end when the same patterns are accepted for the same kinds twice, or after ``most_rounds``.
+    """
     edges = seen.select(F.explode("s.patterns").alias("pattern"), "s.instance", "s.kind").groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
     edges, edge_path = stored(spark, edges, "edges")
     scores = edges.where("kind IS NOT NULL").groupBy("instance").agg(F.lit(1.0).alias("score"), F.max("kind").alias("as_kind"))
-    good = path = None
-    for _ in range(rounds):
+    good = path = mark = None
+    for _ in range(most_rounds):
         scored = edges.join(scores, "instance", "left")
         by_kind = [F.sum(F.when(F.col("as_kind") == k, F.col("score")).otherwise(0.0)) for k in range(len(KINDS))]
         votes = F.array_max(F.array(*[F.struct(v.alias("v"), F.lit(k).alias("k")) for k, v in enumerate(by_kind)]))
@@ -148,7 +157,10 @@ def accepted_patterns(spark: SparkSession, seen: DataFrame, rounds: int = 3, lea
         good, path = stored(spark, found.where(f"seeds >= {least_seeds} AND confidence >= {least_confidence}").drop("seeds"), "patterns")
         if old:
             discard(spark, old)
-        new = edges.where("kind IS NULL").drop("kind").join(good, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("score"), F.max_by("kind", "confidence").alias("as_kind"))
+        was, mark = mark, tuple(good.agg(F.count("*"), F.bit_xor(F.xxhash64("pattern", "kind"))).first())
+        if mark == was:
+            break
+        new = edges.where("kind IS NULL").drop("kind").join(good, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("score"), F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("as_kind"))
         scores = edges.where("kind IS NOT NULL").groupBy("instance").agg(F.lit(1.0).alias("score"), F.max("kind").alias("as_kind")).unionByName(new)
     discard(spark, edge_path)
     return good, path
@@ -180,8 +192,8 @@ def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with each span replaced by its kind, such as <EMAIL>; all columns stay, n_chars (if there) follows.
 
-    Spans that the method adds go to the texts by a join of the few rows that have them; base spans are found again in
-    the text, so that no text moves for them.
+    Spans that the method adds go to the texts by a join of the rows that have them, which is broadcast while these are
+    few; base spans are found again in the text, so that no text moves for them. Null texts stay null.
     """
     more = find(spark, docs).where(F.size("spans") > F.size("base")).select("row", F.col("spans").alias("found")).dropDuplicates(["row"])
     kinds = [f"<{k.upper()}>" for k in KINDS]
@@ -204,11 +216,12 @@ def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
         return run
 
-    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("None")), F.lit("|"), F.coalesce("text", F.lit("")))))
     more, _ = stored(spark, more, "found")
     out = docs
     if more.limit(1).count():
-        keyed = docs.withColumn("__row", key).join(more.withColumnRenamed("row", "__row").withColumnRenamed("found", "__found"), "__row", "left").drop("__row")
+        taken = "_" * (1 + max(map(len, docs.columns)))
+        row, found = f"{taken}row", f"{taken}found"
+        keyed = join_checked(spark, docs.withColumn(row, row_key()), more.toDF(row, found), [row], "left", 200_000).drop(row)
         out = keyed.mapInArrow(mask(True, keyed.columns.index("text")), docs.schema)
     else:
         out = docs.mapInArrow(mask(False, docs.columns.index("text")), docs.schema)
