@@ -8,8 +8,9 @@ at freshly sampled coordinates until their buckets are small. Runs repeat until
 Small buckets are compared by brute force on the coordinates with five standard deviations of slack, and give a spanning
 forest of candidate links; buckets that stay large at the last depth hold near-equal sets, and are linked as a star.
 Candidate components are then verified exactly: members meet in cells of two blocks of bounded size, all pairs of a cell
-are compared by one weighted matrix product, and only counts of links and a spanning forest leave the cell. So no task or
-row set grows with the square of a group, and no link between different sets of a component is lost.
+are compared by one weighted matrix product, and only counts of links and a spanning forest leave the cell. No link between
+different sets of a component is lost, and no task grows with a group. What does grow with the square of a component of N
+different sets is their comparison: as each set is to meet all others, N / 256 copies of it move. Equal texts count once.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteglass.llm.byte_bpe import groups_by_bytes
-from siteglass.llm.common import BoundedCache, components, discard, small_batches, stored, words_of
+from siteglass.llm.common import BoundedCache, components, discard, join_checked, row_key, small_batches, stored, words_of
 
 WORDS, COORDINATES, DEPTH, BUCKET = 5, 64, 3, 64
 BLOCK_DOCS, BLOCK_SHINGLES, BLOOM_BITS = 256, 300_000, 1 << 24
@@ -45,8 +46,7 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     if not ws:
         return np.zeros(0, np.uint64)
     fresh = {w for w in ws if w not in CODES}
-    for w in fresh:
-        CODES[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+    CODES.keep(list(fresh), (int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in fresh))
     codes = np.array([CODES[w] for w in ws], np.uint64)
     k = min(n, len(codes))
     total = np.zeros(len(codes) - k + 1, np.uint64)
@@ -84,7 +84,7 @@ def chosen(seed: int, share: float) -> list[int]:
 
 
 def embedded(docs: DataFrame) -> DataFrame:
-    """(doc_id, sid, n, sig) of each row; a text without words has a null sid."""
+    """(doc_id, row, sid, n, sig) of each row of (doc_id, text, row); a text without words has a null sid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,9 +95,9 @@ def embedded(docs: DataFrame) -> DataFrame:
                 sizes.append(len(s))
                 sids.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "sid", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "row", "sid", "n", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, sid binary, n long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", "row").mapInArrow(run, "doc_id long, row binary, sid binary, n long, sig binary")
 
 
 def coordinate(sig: F.Column, i: F.Column | int) -> F.Column:
@@ -247,6 +247,28 @@ def join(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, recall: f
     Repeated rows count as documents of equal text; a null doc_id is never a class_id but has one. Other columns are not
     carried.
     """
+    rows = classes(spark, docs.select("doc_id", "text", F.lit(None).cast("binary").alias("row")), threshold, recall)
+    return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, most_broadcast: int = 1_000_000) -> DataFrame:
+    """docs with exactly one row of each class, all columns: that of the least doc_id, null ids after others, then of the
+    least digest of its text. Of rows with equal doc_id and text any one stays. Texts without words, which have no class,
+    all stay.
+    """
+    rows, path = stored(spark, classes(spark, docs.select("doc_id", "text", row_key().alias("row")), threshold, recall).where("comp IS NOT NULL").select("doc_id", "row", "comp"), "rows")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.hex("row").alias("row"))
+    first = rows.groupBy("comp").agg(F.min(rank).alias("best"), F.count("*").alias("n")).where("n > 1").select("comp", F.unhex("best.row").alias("best"))
+    copies, copies_path = stored(spark, rows.join(first, "comp").groupBy("row").agg(F.count("*").alias("n"), F.first(F.col("row") == F.col("best")).alias("stays")).where("n > 1 OR NOT stays"), "copies")
+    key = "_" * (1 + max(map(len, docs.columns))) + "row"
+    keyed = docs.withColumn(key, row_key())
+    alone = join_checked(spark, keyed, copies.select(F.col("row").alias(key)), [key], "left_anti", most_broadcast)
+    again = join_checked(spark, keyed, copies.where("stays").select(F.col("row").alias(key)), [key], "left_semi", most_broadcast).dropDuplicates([key])
+    return alone.unionByName(again).select(*docs.columns)
+
+
+def classes(spark: SparkSession, docs: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(doc_id, row, comp, class_id, n_links) of rows (doc_id, text, row); comp is null for a text without words."""
     small_batches(spark)
     rows, _ = stored(spark, embedded(docs), "sets")
     nodes = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
@@ -284,14 +306,13 @@ def join(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, recall: f
     met = met.select("sid", "comp", "copies", "block", "shingles", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     verified, _ = stored(spark, cell_links(met, threshold), "verified")
     counts = verified.where("links > 0").groupBy("sid").agg(F.sum("links").alias("links"))
-    classes, _ = components(spark, verified.where("other IS NOT NULL").select(F.col("sid").alias("a"), F.col("other").alias("b")), "classes")
-    known = nodes.select("sid", "low", "copies").join(counts, "sid", "left").join(classes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    linked, _ = components(spark, verified.where("other IS NOT NULL").select(F.col("sid").alias("a"), F.col("other").alias("b")), "classes")
+    known = nodes.select("sid", "low", "copies").join(counts, "sid", "left").join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     known, _ = stored(spark, known, "known")
     least = known.groupBy("comp").agg(F.min("low").alias("class_id"))
-    known, _ = stored(spark, known.join(least, "comp").select("sid", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "result")
+    known, _ = stored(spark, known.join(least, "comp").select("sid", "comp", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "result")
     discard(spark, group_path, inside_path)
-    out = rows.select("doc_id", "sid").join(known, "sid", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.select("doc_id", "row", "sid").join(known, "sid", "left").select("doc_id", "row", "comp", "class_id", "n_links")
 
 
 SQL = """

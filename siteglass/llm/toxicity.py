@@ -1,7 +1,8 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Features are the words and the character 4- to 6-grams of words (with word marks) that a bounded sample of labelled rows
-sets apart, as log counts. Grades are 0 for rows labelled clean, and 1 to 3 for toxic rows by thirds of the number of words
+sets apart, as log counts: the ``most_features`` that do so most, of those in ``least_df`` sampled rows or more, ties by
+name. These bound the model, not the rows that it rates. Grades are 0 for rows labelled clean, and 1 to 3 for toxic rows by thirds of the number of words
 that carry a feature found in toxic rows only. All grades share one weight vector; ordered thresholds part them. The
 outcome is the expected severity, the grade, and whether grade 1 or more is the likelier.
 """

@@ -1,6 +1,7 @@
 """Operators on whole tables against brute force, SQL and held-out accuracy."""
 
 import gzip
+import itertools
 import math
 import random
 from collections import Counter, defaultdict
@@ -72,6 +73,21 @@ def test_join_of_a_large_group(spark, monkeypatch):
     assert got == brute_join(texts)
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Null ids, repeated rows, one id with two texts, and clashing columns."""
+    base = " ".join(f"w{i}" for i in range(40))
+    near, other = base.replace("w39", "x"), " ".join(f"v{i}" for i in range(12))
+    rows = [(5, base), (3, near), (3, near), (None, base), (7, other), (7, base), (None, other), (8, None), (8, None), (9, ""), (10, "...")]
+    docs = spark.createDataFrame([(*r, "clash", i) for i, r in enumerate(rows)], "doc_id long, text string, row string, comp long")
+    out = ngram_join.one_of_each(spark, docs)
+    assert out.columns == docs.columns
+    key = lambda r: (str(r.doc_id), str(r.text))
+    assert sorted(map(key, out.collect())) == sorted([("3", near), ("7", other), ("8", "None"), ("8", "None"), ("9", ""), ("10", "...")])
+    alone = spark.createDataFrame([(None, base), (None, near)], "doc_id long, text string")
+    assert ngram_join.one_of_each(spark, alone).count() == 1
+    assert ngram_join.one_of_each(spark, docs.where("false")).count() == 0
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.join(spark, frame(spark, []).where("false")).count() == 0
 
@@ -125,10 +141,65 @@ def test_kneser_ney_equals_recursion(spark):
     counts = np.array([rng.randint(1, 5) for _ in words])
     score = brute_kn(words, counts.tolist(), charlm.ORDER)
     tables = charlm.Tables.train(words, counts)
-    asked = ["a", "abc", "zé", "ccccccc", "漢"]
-    assert charlm.score(tables, asked) == pytest.approx([score(w) for w in asked[:4]] + [charlm.score(tables, ["漢"])[0]])
-    text = " ".join(w for w, n in zip(words, counts, strict=True) for _ in range(n))
-    assert charlm.score(kn_quality.build(spark, frame(spark, [text, None, ""])), asked[:4]) == pytest.approx([score(w) for w in asked[:4]])
+    asked = ["a", "abc", "zé", "ccccccc"]
+    logs, sizes = charlm.score(tables, [*asked, "漢"])
+    assert logs[:4] == pytest.approx([score(w) for w in asked]) and sizes.tolist() == [2, 4, 3, 8, 3]
+
+
+def test_symbols_tell_all_code_points_apart():
+    chars = [chr(c) for c in range(3, 0x110000, 7) if not 0xD800 <= c < 0xE000]
+    codes = {tuple(charlm.coded(c)[0].tolist()) for c in chars}
+    assert len(codes) == len(chars) and max(max(c) for c in codes) < charlm.SYMBOLS
+    assert charlm.coded("\u0e01")[0].tolist() != charlm.coded("\u4e01")[0].tolist()
+
+
+def brute_texts(texts, order=charlm.ORDER):
+    """Perplexity by the textbook recursion over characters and blanks."""
+    mark = charlm.BLANK
+    stream = lambda t: mark * (order - 1) + mark.join(t.split()) + mark
+    c = [None, *(Counter() for _ in range(order))]
+    for t in texts:
+        s = stream(t)
+        c[order].update(s[e + 1 - order : e + 1] for e in range(order - 1, len(s)) if t.split())
+    for k in range(order - 1, 0, -1):
+        c[k].update(Counter(g[1:] for g in c[k + 1]))
+    d = [None, *(charlm.discounts([sum(v == i for v in c[k].values()) for i in (1, 2, 3, 4)]) for k in range(1, order + 1))]
+    off = lambda k, v: d[k][min(v, 3) - 1] if v else 0
+
+    def p(gram):
+        if not gram:
+            return 1 / charlm.SYMBOLS
+        k, lower = len(gram), p(gram[1:])
+        own = {g: v for g, v in c[k].items() if g[:-1] == gram[:-1]}
+        total = sum(own.values())
+        return lower if not total else (own.get(gram, 0) - off(k, own.get(gram, 0))) / total + sum(off(k, v) for v in own.values()) / total * lower
+
+    def perplexity(t):
+        s = stream(t)
+        return math.exp(-sum(math.log(p(s[e + 1 - order : e + 1])) for e in range(order - 1, len(s))) / (len(s) - order + 1))
+
+    return perplexity
+
+
+def test_perplexity_equals_recursion(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))) for _ in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(30)]
+    want = brute_texts(texts)
+    model = kn_quality.build(spark, frame(spark, [*texts, None, "", "  "]))
+    asked = [*texts[:3], "zzz a", "a b c d", "a\n b  c d", " ".join(reversed(texts[0].split()))]
+    got = {r.doc_id: r.perplexity for r in kn_quality.perplexities(frame(spark, [*asked, None, " "]), model).collect()}
+    assert [got[i] for i in range(len(asked))] == pytest.approx([want(t) for t in asked], rel=1e-5)
+    assert got[4] == got[5] and got[0] != got[6] and got[7] is None and got[8] is None
+    assert kn_quality.perplexities(frame(spark, []).where("false"), model).count() == 0
+
+
+def test_units_score_each_symbol_once():
+    for text in ("a", "abcd efg h", "x " * 9, "漢字かな ab 😀", "wörter " * 3):
+        heads, inner = charlm.units(text.split())
+        keys, scored, _ = charlm.unit_grams([*heads, *inner], charlm.ORDER)
+        whole, _ = charlm.coded(charlm.BLANK * charlm.LEFT + charlm.BLANK.join(text.split()) + charlm.BLANK)
+        assert sorted(keys[scored].tolist()) == sorted(charlm.keys(whole, charlm.ORDER)[charlm.LEFT :].tolist())
 
 
 def test_quality_keeps_clean_text(spark):
@@ -168,6 +239,28 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert [r.lang_pred for r in langid.identify(spark, odd.where("doc_id < 3")).collect()] == ["und"] * 3
 
 
+def test_language_of_odd_texts(spark):
+    """No letters, ties, rare and many languages, null ids, repeated rows, a column that clashes."""
+    words = {"aa": "la lo li", "bb": "ku ko ki", "cc": "\u0e01\u0e02", "dd": "\u4e01\u4e02"}
+    rows = [(i, " ".join([w] * 3), lang) for lang, w in words.items() for i in (1, 2, 3, 5) if lang in ("aa", "bb") or i == 1]
+    rows += [(100 + i, w, f"x{i:03}") for i, w in enumerate("".join(p) for p in itertools.product("qwxz", repeat=4))]
+    learned = spark.createDataFrame([(i * 1000 + k, t, lang, "clash") for k, (i, t, lang) in enumerate(rows)], "doc_id long, text string, lang string, held_out string")
+    learned = learned.where(~langid.held_out())
+    asked = [(1, "²"), (2, "½ ①"), (3, "Ⅷ"), (4, None), (5, ""), (6, "la lo"), (6, "la lo"), (None, "ku ki"), (7, "\u0e01\u0e02"), (8, "\u4e01\u4e02")]
+    docs = spark.createDataFrame([(*r, None, "clash") for r in asked], learned.schema)
+    model = langid.train(spark, learned)
+    assert set(model.langs) == {r[0] for r in learned.select("lang").distinct().collect()} and len(model.langs) > 150
+    got = langid.identify(spark, docs, model).collect()
+    assert [(r.doc_id, r.lang_pred) for r in got][:7] == [(1, "und"), (2, "und"), (3, "und"), (4, "und"), (5, "und"), (6, "aa"), (6, "aa")]
+    assert (got[7].doc_id, got[7].lang_pred, got[7].held_out) == (None, "bb", False)
+    assert all(r.lang_pred == want for r, want in zip(got[8:], ("cc", "dd"), strict=True) if want in model.langs)
+    assert got[0].score == 0 and all(0 <= r.score <= 1 for r in got)
+    same = langid.Identifier(["aa", "bb"], charlm.merged([charlm.Tables.train(["ab"], np.array([1]))] * 2), 1.0, np.inf)
+    assert same.predict(["ab"])[0][:2] == ("aa", 0.5)
+    assert langid.identify(spark, docs.where("false")).count() == 0
+    assert {r.lang_pred for r in langid.identify(spark, docs).collect()} == {"und"}
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(7)
     clean = lambda: [rng.choice(["lorem", "ipsum", "dolor", "amet", "elit"]) for _ in range(30)]

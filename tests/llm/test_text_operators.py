@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from siteglass.llm import byte_bpe, decontaminate, media, pii, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string"
-ODD = ["", None, " ", "  a  b ", "a▁b", "<s> x </s> <unk>", "<|endoftext|>", "é" * 300, "ab" * 400, "x\x00y\n\n z", "漢字 かな 😀", "it's 123 THE the", "=" * 600, "a b " * 3000]
+ODD = ["", None, " ", "  a  b ", "a▁b", "<s> x </s> <unk>", "<|endoftext|>", "é" * 300, "ab" * 400, "x\x00y\n\n z", "漢字 かな 😀", "it's 123 THE the", "=" * 600, "a b " * 3000, "漢字かなまじり文" * 60 + "\n" * 999 + "{[(]})" * 99]
 
 
 def mixed_texts(n=150, seed=3):
@@ -39,6 +39,14 @@ def test_bpe_equals_library(spark):
     for i, t in enumerate(texts):
         assert np.frombuffer(got[i].ids, "<u4").tolist() == library.encode_ordinary(t or "")
         assert bytes(got[i].decoded) == (t or "").encode()
+    rng = random.Random(4)
+    bpe = byte_bpe.codec(path, public_tokenizers.PATTERN)
+    for letters in ("ab", " \n\t", "aA bB-_/.", "thein ", "aeiourstln", "=-", "漢字かな", "éüß"):
+        for n in (257, 700, 2500):
+            text = "".join(rng.choice(letters) for _ in range(n))
+            want = library._encode_single_piece(text.encode())
+            assert np.frombuffer(bpe.merge_row(text.encode()), "<u4").tolist() == want
+    assert byte_bpe.digests(frame(spark, []).where("false"), path, public_tokenizers.PATTERN).count() == 0
     digest = {r.doc_id: r for r in byte_bpe.digests(frame(spark, texts[:4]), path, public_tokenizers.PATTERN).collect()}
     assert digest[1].n_tokens == 0 and digest[1].ids_sha256 == hashlib.sha256(b"").hexdigest()
 
@@ -155,6 +163,80 @@ def test_context_finds_unseen_identifiers(spark):
     assert clean[31].text == texts[31] and clean[0].n_chars == len(clean[0].text) and clean[0].n_tokens == "clash"
 
 
+def test_tokens():
+    at = lambda t: [t[a:b] for a, b in pii.tokens(t)]
+    assert at("call (774) 555-2163, or 12 now") == ["(774) 555-2163"]
+    assert at("see jane(at)mail.example. End") == ["jane(at)mail.example"]
+    assert at("x " + "9" * 500) == ["9" * 500] and at("a b. c") == [] and at("") == []
+    assert at("in (2020) we") == ["(2020)"] and at("(a1b2") == ["a1b2"]
+
+
+def brute_patterns(rows, least_seeds=5, least_confidence=0.8):
+    """Accepted patterns, by plain rounds over (pattern, instance, kind)."""
+    edges = {}
+    for pattern, instance, kind in rows:
+        old = edges.get((pattern, instance))
+        edges[pattern, instance] = kind if old is None else old if kind is None else max(old, kind)
+    seeds = {}
+    for (_, i), k in edges.items():
+        if k is not None:
+            seeds[i] = (1.0, max(k, seeds[i][1]) if i in seeds else k)
+    scores, good = dict(seeds), None
+    for _ in range(10):
+        fresh = {}
+        for p in {p for p, _ in edges}:
+            own = [(i, k) for (q, i), k in edges.items() if q == p]
+            votes = [sum(s for i, _ in own if i in scores for s, as_kind in [scores[i]] if as_kind == k) for k in range(4)]
+            best = max(range(4), key=lambda k: (votes[k], k))
+            if sum(k is not None for _, k in own) >= least_seeds and votes[best] / (len(own) + 0.5) >= least_confidence:
+                fresh[p] = (best, votes[best] / (len(own) + 0.5))
+        if good is not None and {p: k for p, (k, _) in fresh.items()} == {p: k for p, (k, _) in good.items()}:
+            good = fresh
+            break
+        good, scores = fresh, dict(seeds)
+        for i in {i for (_, i), k in edges.items() if k is None} - set(seeds):
+            on = [good[p] for (p, j), k in edges.items() if j == i and k is None and p in good]
+            if on:
+                miss = np.prod([max(1 - c, 1e-6) for _, c in on])
+                scores[i] = (1 - miss, max(on, key=lambda x: (x[1], -x[0]))[0])
+    return good
+
+
+def test_pattern_scores_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for p in range(12):
+        for _ in range(rng.randint(4, 14)):
+            i = rng.randint(0, 60)
+            kind = i % 4 if i < 45 and not (p % 3 == 0 and i % 7 == 0) else None
+            rows.append((f"p{p}" if kind is None or rng.random() < 0.2 else f"p{p}k{kind}", i, kind))
+    rows = [(p, i, i % 4 if i < 45 else None) for p, i, _ in rows]
+    rows += [(f"p{p}k{i % 4}", i, None) for p in range(12) for i in range(45, 60) if rng.random() < 0.08]
+    seen = spark.createDataFrame([((0, k, 1, i, [p]),) for p, i, k in rows], "s struct<start:int,kind:int,end:int,instance:long,patterns:array<string>>")
+    got = {r.pattern: (r.kind, r.confidence) for r in pii.accepted_patterns(spark, seen, least_seeds=3, least_confidence=0.5)[0].collect()}
+    want = brute_patterns(rows, 3, 0.5)
+    assert want and set(got) == set(want) and all(got[p][0] == k and abs(got[p][1] - c) < 1e-9 for p, (k, c) in want.items())
+
+
+def test_personal_data_of_odd_tables(spark):
+    """Null ids, repeated rows, long texts, empty tables, columns whose names the operator uses itself."""
+    seeds = [(i, f"Please write to user{i}@mail.example.org for help about it") for i in range(30)]
+    odd = [(None, "Please write to user77(at)mail for help about it"), (None, None), (3, ""), (4, "x " * 200_000 + "a@b.cd"), (4, "x " * 200_000 + "a@b.cd")]
+    docs = spark.createDataFrame([(*r, "clash", i) for i, r in enumerate(seeds + odd)], "doc_id long, text string, __row string, __found long")
+    got = pii.report(spark, docs).collect()
+    assert len(got) == 35 and sorted(r.n_email for r in got if r.doc_id == 4) == [0 + 1, 1, 1]
+    clean = pii.redact(spark, docs)
+    assert clean.schema == docs.schema
+    rows = {r["__found"]: r for r in clean.collect()}
+    assert len(rows) == 35 and rows[30].text == "Please write to <EMAIL> for help about it" and rows[31].text is None and rows[33].text == rows[34].text == "x " * 200_000 + "<EMAIL>"
+    assert pii.report(spark, docs.where("false")).count() == 0 and pii.redact(spark, docs.where("false")).count() == 0
+
+
+def test_media_of_nothing_and_token_counts_of_nothing(spark):
+    none = frame(spark, []).where("false")
+    assert media.features(none).count() == 0 and token_counts.token_counts(none, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+
+
 def test_media_round_trip(spark):
     texts = [None, "", "x" * 64, "y" * 65, "the same text", "the same text", "é" * 5000]
     rows = {r.doc_id: r for r in media.features(frame(spark, texts)).collect()}
