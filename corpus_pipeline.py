@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siteglass.llm import byte_bpe, decontaminate, ngram_join, pii, toxicity
-from siteglass.llm.common import join_checked, stored, table
+from siteglass.llm.common import stored, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,9 +15,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by n-gram similarity the one with the least doc_id stays; doc_id tells documents apart."""
-    gone = ngram_join.join(spark, docs).where("class_id <> doc_id").select("doc_id").distinct()
-    return join_checked(spark, docs, gone, ["doc_id"], "left_anti", 2_000_000)
+    """Of rows linked by n-gram similarity exactly one stays, that of the least doc_id; null ids and repeated rows count too."""
+    return ngram_join.one_of_each(spark, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,9 @@ import uuid
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that are deleted at the end.
+leaving: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. A local session without one gets its own."""
@@ -25,7 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/siteglass/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    """A path in the application's own folder, which goes when the driver's JVM ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/siteglass/{spark.sparkContext.applicationId}"
+    if folder not in leaving:
+        leaving.add(folder)
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame, str]:
