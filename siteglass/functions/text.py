@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,12 +47,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(collapse_space(text), " "), lambda w: w != "")
 
 
-def syllables(word: Column) -> Column:
-    """Groups of vowels, one more for each ia, one less for a last tial, e or ed (but not le or les)."""
-    w = F.lower(word)
-    n = F.regexp_count(w, F.lit("[aeiouy]+")) + F.regexp_count(w, F.lit("ia")) - F.when(w.endswith("tial"), 1).otherwise(0)
-    silent = (n > 1) & ~w.endswith("le") & ~w.endswith("les") & (w.endswith("e") | w.endswith("ed"))
-    return F.when(silent, n - 1).otherwise(n)
+#: Syllables: groups of vowels, one more for each ia, one less for a last tial and for a silent last e or ed (but not le)
+#: of a word that has two or more.
+VOWELS, TIAL = "[aeiouy]+", r"tial(?!\S)"
+SILENT = r"(?<!\S)(?=\S*(?:ia|[aeiouy][^aeiouy\s]+[aeiouy]))\S*(?:(?<!l)e|ed)(?!\S)"
+
+
+def syllables(text: Column) -> Column:
+    """Syllables of all words of a text whose words are parted by single blanks (or of one word)."""
+    w = F.lower(text)
+    count = lambda p: F.regexp_count(w, F.lit(p))
+    return count(VOWELS) + count("ia") - count(TIAL) - count(SILENT)
 
 
 def flesch(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
@@ -57,59 +65,39 @@ def flesch(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
     return F.least(F.lit(100.0), F.greatest(F.lit(0.0), score))
 
 
-def terminated(word: str) -> bool:
-    return word[-1] in ".!?"
+LINE = 80
+INNER_STOPS = re.compile(r"[.!?]+(?=[^\s.!?])")
+VOWEL_GROUPS, LAST_TIAL, SILENT_ENDS = re.compile(VOWELS), re.compile(TIAL), re.compile(SILENT)
 
 
-def inner_stops(word: str) -> int:
-    """Runs of . ! ? that more characters of the word follow."""
-    n, i = 0, 0
-    while i < len(word):
-        if word[i] in ".!?":
-            while i < len(word) and word[i] in ".!?":
-                i += 1
-            n += i < len(word)
-        else:
-            i += 1
-    return n
+def line_ends(sizes: np.ndarray) -> np.ndarray:
+    """Places of the last words of lines of up to ``LINE`` characters, filled in turn with words of these sizes and blanks."""
+    reach, out, done = np.cumsum(sizes + 1), [], 0
+    while done < len(sizes):
+        used = reach[done - 1] if done else 0
+        done = max(int(np.searchsorted(reach, used + LINE + 1, "right")), done + 1)
+        out.append(done - 1)
+    return np.array(out)
 
 
-def block_sentences(ws: list[str], line: int = 80) -> int:
-    """Sentences of a block: words are packed greedily in lines, and a line's last word ends no sentence but the line's own."""
+def sentences(block: str) -> int:
+    """Each line ends one, each stop inside a word one, and each word with a last stop that doesn't end its line one."""
+    ws = block.split()
     if not ws:
         return 0
-    total, first, used = sum(map(inner_stops, ws)), 0, 0
-    ends = [terminated(w) for w in ws]
-    for i, w in enumerate(ws):
-        if i == first:
-            used = len(w)
-        elif used + 1 + len(w) > line:
-            total += 1 + sum(ends[first : i - 1])
-            first, used = i, len(w)
-        else:
-            used += 1 + len(w)
-    return total + 1 + sum(ends[first : len(ws) - 1])
-
-
-def count_syllables(word: str) -> int:
-    w, n, before = word.lower(), 0, False
-    for c in w:
-        vowel = c in "aeiouy"
-        n += vowel and not before
-        before = vowel
-    n += w.count("ia") - w.endswith("tial")
-    return n - 1 if n > 1 and w.endswith(("e", "ed")) and not w.endswith(("le", "les")) else n
+    ends = line_ends(np.fromiter(map(len, ws), np.int64, len(ws)))
+    stops = np.fromiter((w.endswith((".", "!", "?")) for w in ws), bool, len(ws))
+    return len(ends) + len(INNER_STOPS.findall(" ".join(ws))) + int(stops.sum() - stops[ends].sum())
 
 
 def block_stats(blocks: list[str]) -> tuple[int, int, float, float]:
     """Words, sentences, words a sentence and Flesch score of a text's blocks."""
-    split = [b.split() for b in blocks]
-    n = sum(map(len, split))
-    if not n:
+    whole = " ".join(" ".join(blocks).split())
+    if not whole:
         return 0, 0, 0.0, 0.0
-    s = max(1, sum(map(block_sentences, split)))
-    score = 206.835 - 1.015 * (n / s) - 84.6 * (sum(count_syllables(w) for ws in split for w in ws) / n)
-    return n, s, n / s, min(100.0, max(0.0, score))
+    n, s, low = whole.count(" ") + 1, max(1, sum(map(sentences, blocks))), whole.lower()
+    spoken = len(VOWEL_GROUPS.findall(low)) + low.count("ia") - len(LAST_TIAL.findall(low)) - len(SILENT_ENDS.findall(low))
+    return n, s, n / s, float(np.clip(206.835 - 1.015 * (n / s) - 84.6 * (spoken / n), 0, 100))
 
 
 STATS = T.StructType().add("words", "integer").add("sentences", "integer").add("words_per_sentence", "double").add("flesch", "double")

@@ -174,8 +174,9 @@ def outside_start_folder(url: Column, seed: Column) -> Column:
 
 
 def site_key(url: Column) -> Column:
-    """The host without www., for grouping crawls of one site."""
-    return F.regexp_replace(host(url), r"^www\.", "")
+    """The lower-case host with its port, if one is given, of a URL or a bare host; null without one. www. stays."""
+    named = F.regexp_extract(F.trim(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#]+)", 1)
+    return F.when(named != "", F.lower(named))
 
 
 def mapped(url: Column, mappings: tuple[tuple[str, str], ...]) -> Column:

@@ -156,17 +156,24 @@ def text_rules(kind: str, on: Column, texts: Column, outside: Column, limits, px
     ]
 
 
+def title_rules(on: Column, cfg: Config) -> list[Column]:
+    title = first(fact("titles"))
+    has_title = (F.size(fact("titles")) > 0) & (F.trim(title) != "")
+    return [
+        *text_rules("title", on, fact("titles"), fact("titles_outside_head"), cfg.thresholds.title, TITLE_PX),
+        found("title_same_as_h1", on & has_title & (F.lower(title) == F.lower(first(fact("h1s"))))),
+    ]
+
+
 def element_rules(on: Column, cfg: Config) -> list[Column]:
     t = cfg.thresholds
-    title, h1s, h2s, levels = first(fact("titles")), fact("h1s"), fact("h2s"), fact("heading_levels")
-    has_title = (F.size(fact("titles")) > 0) & (F.trim(title) != "")
+    h1s, h2s, levels = fact("h1s"), fact("h2s"), fact("heading_levels")
     has_h1 = (F.size(h1s) > 0) & (F.trim(first(h1s)) != "")
     long = lambda hs, most: F.exists(F.slice(hs, 1, 2), lambda h: F.length(h) > most)
     at = F.array_position(levels, F.lit(2)).cast("int")
     before_h2 = F.when(at > 1, F.get(levels, at - 2))
     return [
-        *text_rules("title", on, fact("titles"), fact("titles_outside_head"), t.title, TITLE_PX),
-        found("title_same_as_h1", on & has_title & (F.lower(title) == F.lower(first(h1s)))),
+        *title_rules(on, cfg),
         *text_rules("description", on, fact("descriptions"), fact("descriptions_outside_head"), t.description, DESCRIPTION_PX),
         found("keywords_multiple", on & (F.size(fact("keywords")) > 1)),
         found("h1_missing", on & ~F.coalesce(has_h1, F.lit(False))),

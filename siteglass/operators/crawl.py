@@ -10,6 +10,7 @@ from siteglass.config import DEFAULT, Config
 from siteglass.functions import indexability
 from siteglass.operators import graph, neardup, structured
 from siteglass.sources import html
+from siteglass.storage import stored
 
 
 def defaulted(rows: DataFrame) -> DataFrame:
@@ -28,15 +29,18 @@ def defaulted(rows: DataFrame) -> DataFrame:
     return rows.select(*out)
 
 
-def assemble(spark: SparkSession, fetched: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """The page table of fetched pages (url, html and any page columns): parsed once, then judged by expressions."""
-    keep = tuple(c for c in fetched.columns if c not in ("url", "html", "headers"))
+def assemble(spark: SparkSession, fetched: DataFrame, cfg: Config = DEFAULT, store: bool = False, hierarchy: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """The page table of fetched pages (url, html and any page columns): parsed once, then judged by expressions.
+
+    With ``store`` the table is written to the shared folder, so that what branches from it doesn't parse again.
+    """
     base = fetched.withColumn("size", F.octet_length(F.coalesce("html", F.lit("")))) if "size" not in fetched.columns else fetched
     base = base if "headers" in base.columns else base.withColumn("headers", F.create_map().cast("map<string,string>"))
     keep = (*(c for c in base.columns if c not in ("url", "html", "headers")),)
-    rows = html.extract(base.withColumn("page_headers", F.col("headers")), cfg, (*keep, "page_headers")).withColumnRenamed("page_headers", "headers")
-    if cfg.structured_jsonld or cfg.structured_microdata or cfg.structured_rdfa:
-        rows = rows.join(structured.extract(fetched), "url", "left")
+    types = structured.Types(structured.parse_hierarchy(structured.HIERARCHY) if hierarchy is None else hierarchy)
+    asked = (cfg.structured_jsonld, cfg.structured_microdata, cfg.structured_rdfa)
+    more = {"structured": (schemas.STRUCTURED, lambda tree: structured.structured_of(tree, types, *asked))} if any(asked) else {}
+    rows = html.extract(base.withColumn("page_headers", F.col("headers")), cfg, (*keep, "page_headers"), more).withColumnRenamed("page_headers", "headers")
     pages = defaulted(rows)
     reason = indexability.status(
         F.col("url"), F.col("status_code"), F.col("fetch_error"), F.col("state") == "blocked_robots", F.col("facts.meta_refresh_url"), F.col("facts.meta_robots"),
@@ -44,7 +48,8 @@ def assemble(spark: SparkSession, fetched: DataFrame, cfg: Config = DEFAULT) ->
     )
     crawled = F.col("state") == "crawled"
     pages = pages.withColumn("indexability_status", F.when(crawled, reason).otherwise(""))
-    return pages.withColumn("indexable", crawled & (F.col("indexability_status") == ""))
+    pages = pages.withColumn("indexable", crawled & (F.col("indexability_status") == ""))
+    return stored(spark, pages, "pages")[0] if store else pages
 
 
 def inlinks(pages: DataFrame) -> DataFrame:

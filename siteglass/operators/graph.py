@@ -76,15 +76,15 @@ def depths(spark: SparkSession, seeds: DataFrame, edges: DataFrame) -> DataFrame
     return done
 
 
-def walk(spark: SparkSession, starts: DataFrame, steps: DataFrame, most: int, every: int = 5) -> DataFrame:
+def walk(spark: SparkSession, starts: DataFrame, steps: DataFrame, most: int | None = None, every: int = 5) -> DataFrame:
     """Follow steps (at, to) from each start: (source, hops, loop). A walk ends without a step, at a node it has seen
-    (loop), or after ``most`` hops. State is written every few steps; a walk that has ended leaves it, and until then waits
+    (loop), or after ``most`` hops if that is given. State is written every few steps; a walk that has ended leaves it, and until then waits
     at a place of its own, so that ended walks don't meet in one partition."""
     aside = F.concat(F.lit("\0"), "source")
     now = starts.select(F.col("node").alias("source"), F.col("node").alias("at"), F.array().cast("array<string>").alias("hops"), F.lit(False).alias("loop"))
     done, n = [], 0
     while True:
-        for _ in range(min(every, most - n)):
+        for _ in range(every if most is None else min(every, most - n)):
             to, seen = F.col("to"), F.array_contains("hops", F.col("to")) | (F.col("to") == F.col("source"))
             now = now.join(steps.select("at", "to"), "at", "left").select(
                 "source", F.when(to.isNull() | seen, aside).otherwise(to).alias("at"), F.when(to.isNull(), F.col("hops")).otherwise(F.concat("hops", F.array("to"))).alias("hops"),
@@ -92,7 +92,7 @@ def walk(spark: SparkSession, starts: DataFrame, steps: DataFrame, most: int, ev
             )
             n += 1
         now, _ = stored(spark, now, "walk")
-        ended = (F.col("at") == aside) | F.lit(n >= most)
+        ended = (F.col("at") == aside) | F.lit(most is not None and n >= most)
         done.append(now.where(ended).select("source", "hops", "loop"))
         now = now.where(~ended)
         if not now.limit(1).count():
@@ -127,13 +127,13 @@ def chain_issues(spark: SparkSession, pages: DataFrame) -> DataFrame:
     return redirects.union(chains(spark, canonical_steps(pages), pages).select(F.col("source").alias("url"), F.lit("canonical_chain").alias("issue"), detail))
 
 
-def crawl_paths(spark: SparkSession, pages: DataFrame, most: int = 100) -> DataFrame:
+def crawl_paths(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """(url, hops, path) from the page that discovery began at; a parent seen before ends the path and isn't repeated.
 
-    A round of the walk is one hop; walks that have ended take no further part. ``most`` hops is the report's limit.
+    Paths have any length: a round of the walk is one hop, and walks that have ended take no further part.
     """
     steps = pages.where("discovered_from <> '' AND discovered_from <> url").select(F.col("url").alias("at"), F.col("discovered_from").alias("to"))
-    walked = walk(spark, pages.select(F.col("url").alias("node")), steps, most)
+    walked = walk(spark, pages.select(F.col("url").alias("node")), steps)
     hops = F.when(F.col("loop"), F.slice("hops", 1, F.size("hops") - 1)).otherwise(F.col("hops"))
     path = F.reverse(F.concat(F.array("source"), hops))
     return walked.select(F.col("source").alias("url"), F.size(hops).alias("hops"), F.array_join(path, " -> ").alias("path"))

@@ -78,7 +78,7 @@ def url_normalized_udf(spark, sf_dir):
 
 @query(f"""SELECT page_id, {AUTHORITY} AS authority, {PATH} AS path, {QUERY} AS query,
   CASE WHEN {PATH} = '' THEN 0 ELSE length({PATH}) - length(replace({PATH}, '/', '')) - 1 END AS folder_depth,
-  len(list_filter(string_split({QUERY}, '&'), lambda x: x <> '')) AS params, regexp_replace({AUTHORITY}, '^www[.]', '') AS site FROM pages""")
+  len(list_filter(string_split({QUERY}, '&'), lambda x: x <> '')) AS params, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS site FROM pages""")
 def url_parts(spark, sf_dir):
     u = F.col("url")
     return table(spark, sf_dir, "pages").select(
@@ -187,12 +187,12 @@ def indexability_rollup(spark, sf_dir):
     return judged(spark, sf_dir).groupBy("indexability_status").agg(F.count("*").alias("n"))
 
 
-def crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def crawled(spark: SparkSession, sf_dir: str, store: bool = False) -> DataFrame:
     """The page table of all pages: parsed, with derived responses."""
     rows = responses(spark, sf_dir)
     state = F.when(F.col("robots_blocked"), "blocked_robots").when(F.col("status_code") == 0, "error").otherwise("crawled")
     fetched = rows.select("url", "html", "status_code", state.alias("state"), F.when(F.col("page_id") % 10 == 0, "external").otherwise("internal").alias("scope"), (F.col("page_id") % 7).cast("int").alias("depth"))
-    return crawl.assemble(spark, fetched)
+    return crawl.assemble(spark, fetched, store=store)
 
 
 DECODED = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
@@ -222,8 +222,7 @@ def title_metrics(spark, sf_dir):
   SELECT 'title_below_chars' AS issue, t AS detail WHERE n < 30 UNION ALL SELECT 'title_over_chars', t WHERE n > 60
   UNION ALL SELECT 'title_over_pixels', w || 'px' WHERE w > 561 UNION ALL SELECT 'title_below_pixels', w || 'px' WHERE w < 200 UNION ALL SELECT 'title_same_as_h1', '' WHERE lower(t) = lower(h)) x""")
 def title_issues(spark, sf_dir):
-    rules = checks.element_rules(F.lit(True), DEFAULT)
-    return checks.exploded(facts(spark, sf_dir), rules).where(F.col("issue").startswith("title_"))
+    return checks.exploded(facts(spark, sf_dir), checks.title_rules(F.lit(True), DEFAULT))
 
 
 @query(f"SELECT url, 'title_duplicate' AS issue, t AS detail FROM (SELECT url, {TITLE} AS t, count(*) OVER (PARTITION BY {TITLE}) AS n FROM pages) WHERE n > 1 AND t <> ''")
@@ -274,7 +273,7 @@ def head_issue_counts(spark, sf_dir):
 
 @query()
 def audit_issues(spark, sf_dir):
-    return checks.evaluate(crawled(spark, sf_dir))
+    return checks.evaluate(crawled(spark, sf_dir, store=True))
 
 
 @query("SELECT doc_id, md5(text) AS hash FROM documents WHERE md5(text) IN (SELECT md5(text) FROM documents GROUP BY 1 HAVING count(*) > 1)")
@@ -290,9 +289,8 @@ WORDS = r"list_filter(string_split_regex(trim(regexp_replace(text, '[\s]+', ' ',
 @query(f"""SELECT doc_id, len(w) AS words, coalesce(CAST(list_sum(list_transform(s, lambda p: p.n - CASE WHEN p.n > 1 AND NOT ends_with(p.x, 'le') AND NOT ends_with(p.x, 'les') AND (ends_with(p.x, 'e') OR ends_with(p.x, 'ed')) THEN 1 ELSE 0 END)) AS BIGINT), 0) AS syllables
 FROM (SELECT doc_id, w, list_transform(w, lambda x: {{'x': lower(x), 'n': len(regexp_extract_all(lower(x), '[aeiouy]+')) + len(regexp_extract_all(lower(x), 'ia')) - CASE WHEN ends_with(lower(x), 'tial') THEN 1 ELSE 0 END}}) AS s FROM (SELECT doc_id, {WORDS} AS w FROM documents))""")
 def word_syllable_counts(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.words(F.col("text")).alias("w"))
-    total = F.aggregate(F.transform("w", text.syllables), F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.select("doc_id", F.size("w").alias("words"), total.alias("syllables"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.collapse_space(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.regexp_count("t", F.lit("[^ ]+")).alias("words"), text.syllables(F.col("t")).cast("long").alias("syllables"))
 
 
 @query(f"SELECT doc_id, len({WORDS}) AS words, len({WORDS}) > 0 AND len({WORDS}) < 200 AS low FROM documents")
@@ -336,26 +334,28 @@ def near_dup_minhash(spark, sf_dir):
     return neardup.near_duplicates(rows, 90)
 
 
-# the trade graph: from a customer's nation to its suppliers' nations
-TRADE = """SELECT DISTINCT c.c_nationkey AS src, s.s_nationkey AS dst FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
-WHERE (c.c_nationkey * 7 + s.s_nationkey * 3) % 11 < 2"""
+# the trade graph: from customers to their suppliers, from these to their nations, and from nations to their customers
+TRADE = """SELECT DISTINCT 'c' || o.o_custkey AS src, 's' || l.l_suppkey AS dst FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer"""
 
 
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, o, c, s = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
-    joined = l.join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, l.l_suppkey == s.s_suppkey)
-    return joined.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).where("(src * 7 + dst * 3) % 11 < 2").distinct()
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    bought = l.join(o, l.l_orderkey == o.o_orderkey).select("o_custkey", "l_suppkey").distinct()
+    out = bought.select(name("c", "o_custkey").alias("src"), name("s", "l_suppkey").alias("dst"))
+    return out.union(s.select(name("s", "s_suppkey"), name("n", "s_nationkey"))).union(c.select(name("n", "c_nationkey"), name("c", "c_custkey")))
 
 
 def rank_sql(rounds: int) -> str:
     steps = ", ".join(f"r{i} AS MATERIALIZED (SELECT n.node, 0.15 / (SELECT count(*) FROM n) + 0.85 * coalesce(sum(r.rank / l.k), 0) AS rank FROM n LEFT JOIN l ON l.dst = n.node LEFT JOIN r{i - 1} r ON r.node = l.src GROUP BY n.node)" for i in range(1, rounds + 1))
-    return f"WITH e AS MATERIALIZED ({TRADE}), n AS MATERIALIZED (SELECT n_nationkey AS node FROM nation), l AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS k FROM e WHERE src <> dst), r0 AS (SELECT node, 1.0 / (SELECT count(*) FROM n) AS rank FROM n), {steps} SELECT node, round(rank / (SELECT max(rank) FROM r{rounds}) * 100, 4) AS link_score FROM r{rounds}"
+    return f"WITH e AS MATERIALIZED ({TRADE}), n AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e), l AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS k FROM e WHERE src <> dst), r0 AS (SELECT node, 1.0 / (SELECT count(*) FROM n) AS rank FROM n), {steps} SELECT node, round(rank / (SELECT max(rank) FROM r{rounds}) * 100, 4) AS link_score FROM r{rounds}"
 
 
 @query(rank_sql(graph.ROUNDS))
 def pagerank_trade(spark, sf_dir):
-    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
-    rank = graph.page_rank(spark, nodes, trade(spark, sf_dir))
+    edges = trade(spark, sf_dir)
+    rank = graph.page_rank(spark, edges.select(F.col("src").alias("node")).union(edges.select("dst")), edges)
     return rank.crossJoin(F.broadcast(rank.agg(F.max("rank").alias("top")))).select("node", F.round(F.col("rank") / F.col("top") * 100, 4).alias("link_score"))
 
 
@@ -364,9 +364,9 @@ def unique_degrees(spark, sf_dir):
     return graph.degrees(trade(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE e AS ({TRADE}), d(node, depth) AS (SELECT CAST(0 AS INTEGER), 0 UNION SELECT CAST(e.dst AS INTEGER), d.depth + 1 FROM d JOIN e ON e.src = d.node WHERE d.depth < 25) SELECT node, min(depth) AS depth FROM d GROUP BY node")
+@query(f"WITH RECURSIVE e AS ({TRADE}), d(node, depth) AS (SELECT 'n0', 0 UNION SELECT e.dst, d.depth + 1 FROM d JOIN e ON e.src = d.node WHERE d.depth < 25) SELECT node, min(depth) AS depth FROM d GROUP BY node")
 def depth_bfs(spark, sf_dir):
-    return graph.depths(spark, spark.createDataFrame([(0,)], "node int"), trade(spark, sf_dir))
+    return graph.depths(spark, spark.createDataFrame([("n0",)], "node string"), trade(spark, sf_dir))
 
 
 # redirects: page_id to page_id - 1 unless page_id is a multiple of 5; every multiple of 50 leads to page_id + 2
