@@ -7,6 +7,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siteglass.functions import urls
 
 ITEM = re.compile(r"[-*]\s+\[([^\]]*)\]\(\s*([^)\s]+)\s*\)\s*(?::\s*(.*?))?\s*")
 PARSED = "url string, title string, summary string, malformed boolean, links array<struct<section:string,name:string,url:string,desc:string>>"
@@ -42,3 +45,10 @@ def parsed(files: DataFrame) -> DataFrame:
             yield pd.DataFrame([{"url": u} | parse(t or "") for u, t in zip(batch["url"], batch["text"], strict=True)], columns=["url", "title", "summary", "malformed", "links"])
 
     return files.select("url", "text").mapInPandas(run, PARSED)
+
+
+def curated(files: DataFrame) -> DataFrame:
+    """(src, url, section, name): links of llms.txt files (url, text), resolved against the file. Other files, such as
+    llms-full.txt, list no links; links that don't resolve are left out."""
+    rows = parsed(files.where(F.col("url").endswith("/llms.txt"))).select(F.col("url").alias("src"), F.explode("links").alias("l"))
+    return rows.select("src", urls.resolve("src", "l.url").alias("url"), "l.section", "l.name").where("url <> ''")

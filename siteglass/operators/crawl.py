@@ -75,12 +75,20 @@ def finalized(spark: SparkSession, pages: DataFrame, seeds: list[str], cfg: Conf
     return defaulted(out)
 
 
-def raw_rendered_diff(raw: DataFrame, rendered: DataFrame) -> DataFrame:
-    """(url, jsdiff) of the facts of the delivered and the rendered html, both (url, facts)."""
+def raw_rendered_diff(raw: DataFrame, rendered: DataFrame, console: DataFrame | None = None) -> DataFrame:
+    """(url, jsdiff) of the facts of the delivered and the rendered html, both (url, facts and, if there, structured).
+
+    Errors of the console are given as (url, error). Structured types that only the rendered page has are listed.
+    """
+    none = F.array().cast("array<string>")
+    types = lambda side: F.coalesce(F.col(f"{side}t.types"), none)
+    with_types = lambda rows, side: rows.select("url", F.col("facts").alias(side), (F.col("structured") if "structured" in rows.columns else F.lit(None).cast("struct<types:array<string>>")).alias(f"{side}t"))
     first = lambda side, name: F.coalesce(F.get(F.col(f"{side}.{name}"), F.lit(0)), F.lit(""))
     changed = lambda name: first("r", name) != first("d", name)
     links = lambda side: F.transform(F.filter(F.col(f"{side}.links"), lambda x: x["type"] == "hyperlink"), lambda x: x["url"])
-    both = raw.select("url", F.col("facts").alias("r")).join(rendered.select("url", F.col("facts").alias("d")), "url")
+    both = with_types(raw, "r").join(with_types(rendered, "d"), "url")
+    said = console.groupBy("url").agg(F.array_sort(F.collect_set("error")).alias("said")) if console is not None else None
+    both = both.join(said, "url", "left") if said is not None else both.withColumn("said", F.lit(None).cast("array<string>"))
     noindex = lambda side: indexability.has_noindex(F.col(f"{side}.meta_robots"))
     return both.select(
         "url",
@@ -88,7 +96,7 @@ def raw_rendered_diff(raw: DataFrame, rendered: DataFrame) -> DataFrame:
             F.col("d.word_count").alias("rendered_word_count"), (F.col("d.word_count") - F.col("r.word_count")).alias("word_count_change"), changed("titles").alias("title_changed"),
             changed("descriptions").alias("description_changed"), changed("h1s").alias("h1_changed"), changed("canonical_html").alias("canonical_changed"),
             (noindex("r") & ~noindex("d")).alias("noindex_only_raw"), first("d", "titles").alias("rendered_title"), first("d", "canonical_html").alias("rendered_canonical"),
-            F.size(F.array_except(links("d"), links("r"))).alias("js_links"), F.array().cast("array<string>").alias("console_errors"), F.array().cast("array<string>").alias("structured_js_only"),
+            F.size(F.array_except(links("d"), links("r"))).alias("js_links"), F.coalesce("said", none).alias("console_errors"), F.array_except(types("d"), types("r")).alias("structured_js_only"),
         ).alias("jsdiff"),
     )
 

@@ -61,17 +61,39 @@ def admit(spark: SparkSession, items: DataFrame, cfg: Config = DEFAULT) -> DataF
             return rows.where("on").select(*items.columns)
 
 
-def discover(links: DataFrame, seed: str, cfg: Config = DEFAULT, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), remove_params: tuple[str, ...] = (), replaces: tuple[tuple[str, str], ...] = (), follow_nofollow: bool = False, inside_folder: bool = False, types: tuple[str, ...] = ("hyperlink",)) -> DataFrame:
-    """Links (src, place, url, type, nofollow) that lead on: rewritten, valid, in scope of the patterns, and the first ones of a page."""
-    rows = links.where(F.col("type").isin(*types))
-    rows = rows if follow_nofollow else rows.where("NOT coalesce(nofollow, false)")
+# The link types that lead on, and whether they do by default.
+FOLLOWED = {
+    "hyperlink": True, "xhr": False, "image": False, "css": False, "js": False, "media": False, "swf": False, "iframe": True, "canonical": False, "hreflang": False, "next": False, "prev": False, "amp": False, "meta_refresh": True,
+    "mobile_alternate": False,
+}
+
+
+def discover(
+    links: DataFrame, seed: str, cfg: Config = DEFAULT, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), remove_params: tuple[str, ...] = (), replaces: tuple[tuple[str, str], ...] = (),
+    follow_nofollow: bool = False, inside_folder: bool = False, follow: dict[str, bool] | None = None, external: bool = False, external_nofollow: bool = False,
+) -> DataFrame:
+    """Links (src, place, url, type, nofollow) that lead on, with scope.
+
+    In this order: the first links of a page up to its cap, types that are followed, outside the seed's site only if
+    ``external``, nofollow by scope, then rewritten, valid, allowed by the patterns and, if asked, inside the start folder.
+    """
     nth = Window.partitionBy("src").orderBy("place")
-    rows = rows.withColumn("n", F.row_number().over(nth)).where(F.col("n") <= cfg.limits.max_links_per_page).drop("n")
+    rows = links.withColumn("n", F.row_number().over(nth)).where(F.col("n") <= cfg.limits.max_links_per_page).drop("n") if cfg.limits.max_links_per_page >= 0 else links
+    inner = urls.scope(F.col("url"), F.lit(seed)) != "external"
+    types = [t for t, on in (FOLLOWED | (follow or {})).items() if on]
+    rows = rows.where((F.col("url") != "") & F.col("type").isin(*types) & (inner | F.lit(external)))
+    rows = rows.where(~F.coalesce("nofollow", F.lit(False)) | F.when(inner, follow_nofollow).otherwise(external_nofollow))
     rows = rows.withColumn("url", urls.rewrite(F.col("url"), remove_params, replaces))
     rows = rows.where(urls.is_valid(F.col("url")) & urls.allowed(F.col("url"), include, exclude))
+    rows = rows.withColumn("scope", urls.scope(F.col("url"), F.lit(seed)))
     if inside_folder:
-        rows = rows.where(~urls.outside_start_folder(F.col("url"), F.lit(seed)))
-    return rows.withColumn("scope", urls.scope(F.col("url"), F.lit(seed)))
+        rows = rows.where((F.col("scope") == "external") | ~urls.outside_start_folder(F.col("url"), F.lit(seed)))
+    return rows
+
+
+def gated_inlinks(links: DataFrame, seed: str, cfg: Config = DEFAULT, **options) -> DataFrame:
+    """(url, inlinks): occurrences of hyperlinks that discovery lets through, by what they are rewritten to."""
+    return discover(links, seed, cfg, **options).where("type = 'hyperlink'").groupBy("url").agg(F.count("*").alias("inlinks"))
 
 
 def duplicate_of(pages: DataFrame) -> DataFrame:

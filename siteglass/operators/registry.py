@@ -39,6 +39,19 @@ def reconcile(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("status", F.when(F.col("status") == "running", "queued").otherwise(F.col("status")))
 
 
+def with_crawl(crawls: DataFrame, **values) -> DataFrame:
+    """The registry with a new crawl, or with one's values changed if its id is there; columns not given stay or are null."""
+    row = crawls.sparkSession.createDataFrame([tuple(values.get(f.name) for f in crawls.schema.fields)], crawls.schema)
+    own = F.col("id") == F.lit(values["id"])
+    changed = crawls.select(*[F.when(own, F.lit(values[f.name]).cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name in values else F.col(f.name) for f in crawls.schema.fields])
+    return changed.union(row.join(crawls.select("id"), "id", "left_anti").select(*crawls.columns))
+
+
+def without_crawl(crawls: DataFrame, crawl_id: str) -> DataFrame:
+    """The registry without a crawl; its folder is the caller's to delete once this is written."""
+    return crawls.where(F.col("id") != F.lit(crawl_id))
+
+
 def crawl_list(crawls: DataFrame) -> DataFrame:
     """Crawls newest first."""
     return crawls.orderBy(F.desc("started"), F.desc("id"))

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from siteglass import schemas
 from siteglass.config import DEFAULT
-from siteglass.functions import indexability, robots, text, urls
+from siteglass.functions import indexability, llms, robots, text, urls
 from siteglass.operators import checks, crawl, extract, frontier, graph, neardup, registry, sets, structured
+from siteglass.operators.catalogue import entries
 from siteglass.plans import compare, scorecard, surface, views
 from siteglass.sources import html, sinks
 from siteglass.streaming import ingest
@@ -729,5 +730,162 @@ def canonical_chains(spark, sf_dir):
     return rows.select("source", F.col("n_hops").alias("hops"), F.element_at("hops", -1).alias("last"))
 
 
+SEVERITY_SQL = "CASE WHEN issue IN ('url_multiple_slashes', 'url_contains_space') THEN 'issue' WHEN issue IN ('url_underscores', 'url_over_length') THEN 'opportunity' ELSE 'warning' END"
+CATALOGUE_SQL = "(VALUES " + ", ".join(f"({i}, '{a}', '{b}', '{c}', '{d}')" for i, (a, b, c, d) in enumerate(entries())) + ") AS k(place, issue, tab, severity, priority)"
+
+
+@query(f"SELECT url, issue, {SEVERITY_SQL} AS severity, 'low' AS priority, 'url' AS tab, detail FROM ({URL_CHECKS})")
+def tab_issues(spark, sf_dir):
+    return views.issues_tab(spark, url_issues(spark, sf_dir))
+
+
+@query(f"""SELECT url AS source, 'hyperlink' AS type, trim({DECODED.format("regexp_extract(a, '>([^<]*)<', 1)")}) AS anchor, '' AS alt, false AS nofollow, '' AS rel FROM ({ANCHORS})""")
+def tab_links(spark, sf_dir):
+    return views.links_tab(facts(spark, sf_dir)).where("type = 'hyperlink'").select("source", "type", "anchor", "alt", "nofollow", "rel")
+
+
+@query(f"""SELECT url, kind, name, value FROM (SELECT url, 'extraction' AS kind, 'h1' AS name, {H1} AS value FROM pages)""")
+def tab_custom(spark, sf_dir):
+    return views.custom_tab(extract.extractions(table(spark, sf_dir, "pages"), [extract.Extraction("h1", "css", "article > h1")]))
+
+
+@query(f"SELECT url, {H1} AS h1, CAST(length({H1}) AS VARCHAR) AS length, '1' AS count FROM pages")
+def tab_h1(spark, sf_dir):
+    return views.tab(crawl.defaulted(facts(spark, sf_dir)), "h1").drop("indexability_status")
+
+
+@query("SELECT url, '' AS description, '0' AS length, '0' AS pixel_width, '0' AS count FROM pages")
+def tab_descriptions(spark, sf_dir):
+    return views.tab(crawl.defaulted(facts(spark, sf_dir)), "descriptions").drop("indexability_status")
+
+
+@query(f"SELECT url, CASE WHEN url LIKE 'http://%' THEN 'http' ELSE 'https' END AS scheme, CAST(status_code AS VARCHAR) AS status_code FROM ({SIMPLE}) WHERE scope = 'internal'")
+def tab_security(spark, sf_dir):
+    return views.tab(crawled(spark, sf_dir), "security").drop("indexability_status")
+
+
+@query(f"""SELECT p.url, CAST(p.status_code AS VARCHAR) AS status_code, CAST(p.page_id % 7 AS VARCHAR) AS depth, t.title FROM ({SIMPLE}) p JOIN (SELECT page_id, {TITLE} AS title FROM pages) t ON t.page_id = p.page_id WHERE p.scope <> 'internal'""")
+def tab_external(spark, sf_dir):
+    return views.tab(crawled(spark, sf_dir), "external").select("url", "status_code", "depth", "title")
+
+
+@query("SELECT url, 'image/png' AS content_type, CAST(strlen(html) // 1024 AS VARCHAR) AS size_kb, '0' AS inlinks FROM pages WHERE page_id % 6 = 0")
+def tab_images(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("url", F.octet_length("html").alias("size"), F.when(F.col("page_id") % 6 == 0, "image/png").otherwise("text/html").alias("content_type"))
+    return views.tab(crawl.defaulted(rows), "images")
+
+
+@query(f"SELECT k.issue, k.tab, k.severity, k.priority, coalesce(n, 0) AS n FROM {CATALOGUE_SQL} LEFT JOIN (SELECT issue, count(DISTINCT url) AS n FROM ({URL_CHECKS}) GROUP BY issue) u ON u.issue = k.issue")
+def catalogue_counts(spark, sf_dir):
+    return views.catalogue_counts(spark, url_issues(spark, sf_dir))
+
+
+@query(f"""SELECT k.issue, k.tab, k.severity, k.priority, n FROM {CATALOGUE_SQL} JOIN (SELECT issue, count(DISTINCT url) AS n FROM ({URL_CHECKS}) GROUP BY issue) u ON u.issue = k.issue
+ORDER BY CASE k.severity WHEN 'issue' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, n DESC, place LIMIT 8""")
+def top_issues(spark, sf_dir):
+    return views.top_issues(spark, url_issues(spark, sf_dir))
+
+
+@query(f"""WITH p AS ({SIMPLE}), f AS (SELECT * FROM p), l AS (SELECT count(*) AS n FROM ({ANCHORS}))
+SELECT 'internal' AS dataset, count(*) FILTER (WHERE scope = 'internal') AS n FROM p UNION ALL SELECT 'external', count(*) FILTER (WHERE scope <> 'internal') FROM p UNION ALL SELECT d, count(*) FROM p, (VALUES ('response_codes'), ('titles'), ('descriptions'), ('h1'), ('canonicals')) v(d) GROUP BY d
+UNION ALL SELECT 'images', 0 UNION ALL SELECT 'security', count(*) FILTER (WHERE scope = 'internal') FROM p UNION ALL SELECT 'hreflang', 0 UNION ALL SELECT 'links', n FROM l UNION ALL SELECT 'issues', count(*) FROM ({URL_CHECKS})""")
+def dataset_counts(spark, sf_dir):
+    pages = crawled(spark, sf_dir)
+    only = F.filter("facts.links", lambda x: x["type"] == "hyperlink")
+    return views.dataset_counts(pages.withColumn("facts", F.col("facts").withField("links", only)), url_issues(spark, sf_dir))
+
+
+@query(f"SELECT url, status_code, (SELECT count(*) FROM pages) AS total, (SELECT count(*) > 20 FROM pages) AS truncated FROM (SELECT url, CAST(status_code AS VARCHAR) AS status_code FROM ({SIMPLE}) ORDER BY url LIMIT 20)")
+def dataset_page(spark, sf_dir):
+    rows = simple_pages(spark, sf_dir).withColumns({c: F.lit("") for c in ("status", "redirect_url", "redirect_type", "fetch_error")})
+    got = views.limited("response_codes", views.tab(rows, "response_codes").select("url", "status_code"), 20)
+    return spark.createDataFrame([(*r, got["total"], got["truncated"]) for r in got["rows"]], "url string, status_code string, total long, truncated boolean")
+
+
+CODES = f"(SELECT page_id AS i, {RESPONSE} AS code FROM pages)"
+
+
+@query(f"""WITH p AS {CODES}, c AS (SELECT i, i + 8 AS t FROM p WHERE i % 8 = 1), g AS (SELECT i, i + 1 AS t FROM p WHERE i % 6 < 4 UNION SELECT i, i - 1 FROM p WHERE i % 6 BETWEEN 1 AND 3)
+SELECT CAST(i AS VARCHAR) AS url, issue, CAST(t AS VARCHAR) AS detail FROM (
+  SELECT a.i, 'redirect_broken' AS issue, a.i - 4 AS t FROM p a JOIN p b ON b.i = a.i - 4 WHERE a.code BETWEEN 300 AND 399 AND b.code >= 400
+  UNION ALL SELECT c.i, 'canonical_non_indexable_target', t FROM c JOIN p ON p.i = c.t WHERE c.t % 9 = 0 UNION ALL SELECT c.i, 'canonical_to_redirect', t FROM c JOIN p ON p.i = c.t WHERE p.code BETWEEN 300 AND 399
+  UNION ALL SELECT g.i, 'pagination_non_indexable', t FROM g JOIN p ON p.i = g.t WHERE p.code = 200 AND g.t % 9 = 0)""")
+def target_issues(spark, sf_dir):
+    return checks.target_issues(annotated(spark, sf_dir).withColumn("redirect_url", (F.col("url").cast("long") - 4).cast("string")).withColumn("facts", F.col("facts").withField("amp_links", F.array().cast("array<string>"))))
+
+
+@query(f"""SELECT CAST(a.i AS VARCHAR) AS url, CASE WHEN b.code >= 400 THEN 'links_outlinks_to_broken' ELSE 'links_outlinks_to_redirect' END AS issue, CAST(b.i AS VARCHAR) AS detail FROM {CODES} a JOIN {CODES} b ON b.i = a.i + 3 WHERE a.i % 3 = 0 AND b.code >= 300""")
+def outlink_issues(spark, sf_dir):
+    return checks.link_issues(annotated(spark, sf_dir)).where(F.col("issue").startswith("links_outlinks_to_"))
+
+
+@query("""WITH p AS (SELECT page_id AS i FROM pages), l AS (SELECT i + 3 AS t, i % 9 <> 0 AS good FROM p WHERE i % 3 = 0)
+SELECT CAST(p.i AS VARCHAR) AS url, 'links_only_non_indexable_inlinks' AS issue, '' AS detail FROM p JOIN l ON l.t = p.i WHERE p.i % 9 <> 0 AND NOT good
+UNION ALL SELECT CAST(p.i AS VARCHAR), 'canonical_unlinked', CAST(p.i - 8 AS VARCHAR) FROM p JOIN p q ON q.i = p.i - 8 WHERE q.i % 8 = 1 AND p.i NOT IN (SELECT t FROM l)""")
+def inlink_issues(spark, sf_dir):
+    return checks.inlink_issues(annotated(spark, sf_dir))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS url, CASE WHEN p_size % 3 = 0 THEN 'microdata, rdfa' ELSE 'microdata' END AS formats, CASE WHEN p_size % 3 = 0 THEN 'Product, Brand' ELSE 'Product' END AS types,
+  concat_ws('; ', CASE WHEN p_size % 5 = 0 THEN 'Product: missing required property "name"' END, CASE WHEN p_size % 2 = 1 THEN 'Product: missing required property (one of review, aggregateRating, offers)' END) AS errors FROM part""")
+def structured_markup(spark, sf_dir):
+    size = F.col("p_size")
+    body = F.concat(
+        F.lit('<div itemscope itemtype="https://schema.org/Product">'), F.when(size % 5 == 0, "").otherwise('<b itemprop="name">x</b>'), F.when(size % 2 == 0, '<i itemprop="review">good</i>').otherwise(""), F.lit("</div>"),
+        F.when(size % 3 == 0, '<p typeof="schema:Brand">b</p>').otherwise(""),
+    )
+    s = structured.extract(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("url"), body.alias("html")))
+    return s.select("url", *[F.array_join(f"structured.{c}", "; " if c == "errors" else ", ").alias(c) for c in ("formats", "types", "errors")])
+
+
+@query("""SELECT 'https://example.com/p/' || page_id % 50 AS url, count(*) AS inlinks FROM pages WHERE page_id % 4 <> 1 AND page_id % 5 <> 0 AND page_id % 50 NOT BETWEEN 30 AND 39 GROUP BY page_id % 50""")
+def gated_inlinks(spark, sf_dir):
+    i = F.col("page_id")
+    kind = F.when(i % 4 == 1, F.when(i % 8 == 1, "canonical").otherwise("image")).otherwise("hyperlink")
+    links = table(spark, sf_dir, "pages").select(F.concat(F.lit("https://example.com/"), i.cast("string")).alias("src"), F.lit(0).alias("place"), F.concat(F.lit("https://example.com/p/"), (i % 50).cast("string"), F.lit("?sid=1")).alias("url"), kind.alias("type"), (i % 5 == 0).alias("nofollow"))
+    outside = links.withColumn("url", F.concat(F.lit("https://other.net/"), F.col("place").cast("string")))
+    return frontier.gated_inlinks(links.union(outside), "https://example.com/", exclude=("/p/3[0-9]",), remove_params=("sid",))
+
+
+@query("""SELECT 'https://example.com/m' || page_id % 3 || '.xml' AS sitemap, CASE page_id % 3 WHEN 2 THEN 2 ELSE 1 END AS depth, 'https://example.com/p/' || page_id AS url, CAST(NULL AS VARCHAR) AS error FROM pages
+UNION ALL SELECT * FROM (VALUES ('https://example.com/gone.xml', 1, NULL, 'status 404'), ('https://example.com/none.xml', 1, NULL, 'not fetched'), ('https://example.com/page.xml', 1, NULL, 'no sitemap')) v""")
+def sitemap_walk(spark, sf_dir):
+    base = "https://example.com/"
+    entry = F.concat(F.lit("<url><loc> HTTPS://Example.com:443/p/"), F.col("page_id").cast("string"), F.lit("#x </loc></url>"))
+    lists = table(spark, sf_dir, "pages").groupBy((F.col("page_id") % 3).alias("k")).agg(F.array_join(F.collect_list(entry), "").alias("x"))
+    files = lists.select(F.concat(F.lit(base + "m"), F.col("k").cast("string"), F.lit(".xml")).alias("url"), F.lit(200).alias("status_code"), F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "x", F.lit("</urlset>")).alias("xml"))
+    index = lambda *names: "<sitemapindex>" + "".join(f"<sitemap><loc>{base}{n}</loc></sitemap>" for n in names) + "</sitemapindex>"
+    more = [(base + "index.xml", 200, index("index.xml", "m0.xml", "m1.xml", "inner.xml", "gone.xml", "none.xml", "page.xml")), (base + "inner.xml", 200, index("m2.xml", "m0.xml", "deep.xml")), (base + "deep.xml", 200, index("deeper.xml")), (base + "gone.xml", 404, None), (base + "page.xml", 200, "<html></html>")]
+    return sinks.walk_sitemaps(files.union(spark.createDataFrame(more, "url string, status_code int, xml string")), spark.createDataFrame([(base + "index.xml",)], "url string"))
+
+
+@query("""SELECT 'https://h' || n_nationkey || '.example/llms.txt' AS src, u AS url, 'Docs' AS section, n AS name FROM nation, LATERAL (SELECT 'https://h' || n_nationkey || '.example/a/' || n_nationkey AS u, n_name AS n UNION ALL SELECT 'https://other.net/x', 'other') v""")
+def llms_links(spark, sf_dir):
+    body = F.concat(F.lit("# T\n## Docs\n- ["), "n_name", F.lit("](a/"), F.col("n_nationkey").cast("string"), F.lit(")\n- [other](https://other.net/x): more\n"))
+    host = F.concat(F.lit("https://h"), F.col("n_nationkey").cast("string"), F.lit(".example/"))
+    n = table(spark, sf_dir, "nation")
+    return llms.curated(n.select(F.concat(host, F.lit("llms.txt")).alias("url"), body.alias("text")).union(n.select(F.concat(host, F.lit("llms-full.txt")), body)))
+
+
+@query("""SELECT page_id, page_id % 2 = 0 AS title_changed, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS js_links, page_id % 5 = 0 AS noindex_only_raw, CASE WHEN page_id % 7 = 0 THEN 'boom' ELSE '' END AS console, CASE WHEN page_id % 3 = 0 THEN 'Thing' ELSE '' END AS js_types FROM pages""")
+def rendered_diff(spark, sf_dir):
+    i = F.col("page_id")
+    page = lambda title, robots, extra: F.concat(F.lit("<html><head><title>"), title, F.lit("</title>"), robots, F.lit("</head><body><p>text</p>"), extra, F.lit("</body></html>"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://example.com/"), i.cast("string")).alias("url"))
+    raw = rows.withColumn("html", page(F.lit("a"), F.when(i % 5 == 0, '<meta name="robots" content="noindex">').otherwise(""), F.lit("")))
+    seen = rows.withColumn("html", page(F.when(i % 2 == 0, "b").otherwise("a"), F.lit(""), F.when(i % 3 == 0, '<a href="/x">x</a><p typeof="schema:Thing">t</p>').otherwise("")))
+    cfg = DEFAULT.with_values(structured_rdfa=True)
+    both = [crawl.assemble(spark, r.drop("page_id"), cfg) for r in (raw, seen)]
+    diff = crawl.raw_rendered_diff(*both, rows.where("page_id % 7 = 0").select("url", F.lit("boom").alias("error")))
+    return diff.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("page_id"), "jsdiff.title_changed", "jsdiff.js_links", "jsdiff.noindex_only_raw", F.array_join("jsdiff.console_errors", ",").alias("console"), F.array_join("jsdiff.structured_js_only", ",").alias("js_types"))
+
+
+@query("SELECT user_id AS id, CASE WHEN max(value) > 400 THEN 'server error' WHEN max(value) > 300 THEN 'client error' END AS why FROM events GROUP BY user_id HAVING max(value) > 300")
+def notable_pages(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("url")).agg(F.max("value").alias("v"))
+    code = F.when(F.col("v") > 400, 503).when(F.col("v") > 300, 404).otherwise(200)
+    return ingest.notable(rows.select("url", F.lit("crawled").alias("state"), code.alias("status_code"), F.lit(5).alias("response_time_ms"))).select(F.col("url").alias("id"), "why")
+
+
 for _name, _sql in surface.STATEMENTS.items():
     QUERIES[_name], SQL[_name] = surface.runner(_sql), _sql

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siteglass.functions.text import DESCRIPTION_PX, TITLE_PX, pixel_width
 from siteglass.operators import graph
-from siteglass.operators.catalogue import catalogue
+from siteglass.operators.catalogue import catalogue, entries
 
 RANK = {"issue": 0, "warning": 1, "opportunity": 2}
 URGENCY = {"high": 0, "medium": 1, "low": 2}
@@ -105,6 +105,38 @@ def catalogue_counts(spark: SparkSession, issues: DataFrame) -> DataFrame:
     return catalogue(spark).join(issue_counts(issues), "issue", "left").na.fill(0, ["n"])
 
 
+def top_issues(spark: SparkSession, issues: DataFrame, most: int = 8) -> DataFrame:
+    """The checks with most URLs: by severity, then count; ties in the catalogue's order."""
+    place = {row[0]: i for i, row in enumerate(entries())}
+    rows = catalogue_counts(spark, issues).where("n > 0")
+    order = F.create_map(*[x for name, i in place.items() for x in (F.lit(name), F.lit(i))])[F.col("issue")]
+    rank = F.create_map(*[x for k, v in RANK.items() for x in (F.lit(k), F.lit(v))])[F.col("severity")]
+    return rows.orderBy(rank, F.desc("n"), order).limit(most)
+
+
+def dataset_counts(pages: DataFrame, issues: DataFrame, custom: DataFrame | None = None) -> DataFrame:
+    """(dataset, n): rows of each tab. Those of pages are counted in one pass."""
+    facts, inside = F.col("facts").isNotNull(), F.col("scope") == "internal"
+    with_facts = ("titles", "descriptions", "h1", "canonicals")
+    sizes = {
+        "internal": F.count_if(inside), "external": F.count_if(~inside), "response_codes": F.count("*"), **{name: F.count_if(facts) for name in with_facts}, "images": F.count_if(F.col("content_type").startswith("image/")),
+        "security": F.count_if(facts & inside), "hreflang": F.sum(F.when(facts, F.size("facts.hreflang_html") + F.size("facts.hreflang_http"))), "links": F.sum(F.when(facts, F.size("facts.links"))),
+    }
+    one = pages.agg(*[F.coalesce(v, F.lit(0)).cast("long").alias(k) for k, v in sizes.items()])
+    out = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("dataset"), F.col(k).alias("n")) for k in sizes])).alias("x")).select("x.*")
+    for name, rows in (("issues", issues), ("custom", custom)):
+        if rows is not None:
+            out = out.union(rows.agg(F.lit(name).alias("dataset"), F.count("*").alias("n")))
+    return out
+
+
+def limited(name: str, rows: DataFrame, limit: int = 0) -> dict:
+    """A dataset as a client gets it: header, rows up to the limit if there is one, all rows' number, and whether some are left out."""
+    total = rows.count()
+    some = rows.limit(limit) if limit > 0 else rows
+    return {"name": name, "header": rows.columns, "rows": [list(r) for r in some.collect()], "total": total, "truncated": 0 < limit < total}
+
+
 def overview(pages: DataFrame, issues: DataFrame) -> DataFrame:
     """crawl_overview: (metric, count) by metric."""
     crawled = F.col("state") == "crawled"

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteglass.functions import urls
 from siteglass.storage import open_path
 
 PER_SITEMAP = 49_999
@@ -137,6 +138,36 @@ def read_sitemaps(spark: SparkSession, path: str, row: str = "url") -> DataFrame
     return got.select(F.input_file_name().alias("sitemap"), F.trim("loc").alias("url")).where("url <> ''")
 
 
+def walk_sitemaps(fetched: DataFrame, starts: DataFrame, deepest: int = 2) -> DataFrame:
+    """(sitemap, depth, url, error) from fetched sitemap files (url, status_code, xml) and where to start (url).
+
+    Index entries are followed down to ``deepest``; each file is read once, at its least depth. Listed URLs are normalised.
+    A file that is missing, failed or isn't XML of a sitemap gives one row with an error, and the others go on.
+    """
+    shape = "sitemap array<struct<loc:string>>, url array<struct<loc:string>>"
+    files = fetched.select(F.col("url").alias("sitemap"), "status_code", "xml")
+    now, read = starts.select(F.col("url").alias("sitemap")).distinct(), None
+    for depth in range(deepest + 1):
+        here = now.join(files, "sitemap", "left").withColumn("depth", F.lit(depth))
+        plain = F.regexp_replace("xml", r'xmlns(:\w+)?="[^"]*"', "")
+        good = (F.col("status_code") == 200) & F.col("xml").rlike(r"<(?:\w+:)?(?:urlset|sitemapindex)[\s>]")
+        here = here.withColumn("found", F.when(good, F.from_xml(plain, shape))).select(
+            "sitemap", "depth", F.when(F.col("status_code").isNull(), "not fetched").when(F.col("status_code") != 200, F.concat(F.lit("status "), F.col("status_code").cast("string"))).when(~good, "no sitemap").alias("error"),
+            F.transform(F.coalesce("found.sitemap", F.array()), lambda x: F.trim(x["loc"])).alias("children"), F.transform(F.coalesce("found.url", F.array()), lambda x: F.trim(x["loc"])).alias("urls"),
+        )
+        read = here if read is None else read.union(here)
+        now = here.select(F.explode("children").alias("sitemap")).where("sitemap <> ''").distinct().join(read.select("sitemap"), "sitemap", "left_anti")
+    listed = read.select("sitemap", "depth", F.explode("urls").alias("url"), F.lit(None).cast("string").alias("error")).withColumn("url", urls.normalize("url")).where("url IS NOT NULL")
+    return listed.union(read.where("error IS NOT NULL").select("sitemap", "depth", F.lit(None).cast("string"), "error"))
+
+
+def robots_sitemaps(robots: DataFrame) -> DataFrame:
+    """(authority, url) of the sitemaps that robots.txt files (authority, text) name; an authority that names none has /sitemap.xml."""
+    named = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?im)^[ \t]*sitemap[ \t]*:[ \t]*(\S+)"), F.lit(1))
+    usual = F.array(F.concat(F.lit("https://"), "authority", F.lit("/sitemap.xml")))
+    return robots.select("authority", F.explode(F.when(F.size(named) > 0, named).otherwise(usual)).alias("url")).distinct()
+
+
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     """(url) of every http(s) URL in text files."""
     lines = spark.read.text(path)

@@ -2,26 +2,63 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siteglass.sources.sinks import newest_by_url
 
 
-def page_sink(pages: DataFrame, folder: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Append each batch under its number, so that a repeated batch overwrites itself; reading takes the newest row of a URL."""
+def rate_limited(spark: SparkSession, schema: str, folder: str, files: int) -> DataFrame:
+    """A stream of fetched pages from a folder, of which a trigger takes so many files at most."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+class Progress(StreamingQueryListener):
+    """Events of a session's streams, the newest last: (kind, name, batch, rows, rows a second). Keeps the last ``most``."""
+
+    def __init__(self, most: int = 1000):
+        self.events: deque[tuple[str, str, int, int, float]] = deque(maxlen=most)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.events.append(("started", event.name or "", -1, 0, 0.0))
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.events.append(("progress", p.name or "", p.batchId, p.numInputRows, p.processedRowsPerSecond or 0.0))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        self.events.append(("idle", "", -1, 0, 0.0))
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.events.append(("ended" if event.exception is None else "failed", "", -1, 0, 0.0))
+
+
+def notable(pages: DataFrame, slow_ms: int = 3000) -> DataFrame:
+    """(url, why) of pages worth showing while a crawl runs: failures, errors of the server and the client, and slow answers."""
+    why = F.when(F.col("state") == "error", "no response").when(F.col("status_code") >= 500, "server error").when(F.col("status_code") >= 400, "client error").when(F.col("response_time_ms") > slow_ms, "slow")
+    return pages.select("url", why.alias("why")).where("why IS NOT NULL")
+
+
+def page_sink(pages: DataFrame, folder: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None, every: str = "") -> StreamingQuery:
+    """Append each batch under its number, so that a repeated batch overwrites itself; reading takes the newest row of a URL.
+
+    ``every`` is the least time between batches, such as '2 seconds'.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("version", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/batch={number}")
         if each is not None:
             each(batch, number)
 
-    return pages.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
+    out = pages.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out).start()
 
 
 def stored_pages(spark: SparkSession, folder: str) -> DataFrame:

@@ -299,3 +299,60 @@ def test_streams(spark, tmp_path):
     assert sorted(map(tuple, spark.table("cnt").collect())) == sorted(map(tuple, batch.collect()))
     found = spark.createDataFrame([("a",), ("b",), ("c",)], "url string")
     assert ingest.resumed(found.where("url = 'a'"), found, 2).count() == 1
+
+
+def test_a_long_discovery_path(spark):
+    n = 113
+    pages = spark.createDataFrame([(str(i), str(i - 1) if i else "") for i in range(n)] + [("a", "b"), ("b", "a")], "url string, discovered_from string")
+    got = {r.url: (r.hops, r.path) for r in graph.crawl_paths(spark, pages).collect()}
+    assert got[str(n - 1)] == (n - 1, " -> ".join(map(str, range(n)))) and got["0"] == (0, "0") and got["a"] == (1, "b -> a")
+
+
+def test_whole_hierarchy_from_a_file(tmp_path):
+    path = tmp_path / "types.csv"
+    path.write_text("id,label,subTypeOf\nhttps://schema.org/Thing,Thing,\nhttps://schema.org/Product,Product,https://schema.org/Thing\nhttps://schema.org/Vehicle,Vehicle,https://schema.org/Product\nhttps://schema.org/Drug,Drug,\"https://schema.org/Product, https://schema.org/Thing\"\n")
+    types = structured.Types(structured.read_hierarchy(str(path)))
+    assert types.root("Drug") == "Product" and types.root("Vehicle") == "" and types.root("Thing") == "" and types.above["Vehicle"] == {"Product", "Thing"}
+    assert structured.Types(structured.parse_hierarchy(structured.HIERARCHY)).roots(["Bakery", "Organization", "X"]) == ["LocalBusiness"]
+
+
+def test_offers_are_checked_by_what_they_are_part_of():
+    types = structured.Types(structured.parse_hierarchy(structured.HIERARCHY))
+    page = lambda kind, offer: structured.structured_of(f'<script type="application/ld+json">{{"@type": "{kind}", "name": "n", "offers": {offer}}}</script>', types)
+    assert "Offer: missing required property (one of priceCurrency, priceSpecification)" in page("Product", '{"price": 1}')["errors"]
+    assert not any(e.startswith("Offer") for e in page("MobileApplication", '{"price": 1}')["errors"])
+    assert any(e.startswith("AggregateOffer: missing required property (one of lowPrice") for e in page("WebApplication", '{"@type": "AggregateOffer"}')["errors"])
+    assert not any("Offer" in e for e in page("Event", "{}")["errors"]) and 'Offer: missing recommended property "price"' in page("Event", "{}")["warnings"]
+    assert not any("Offer" in e for e in page("Thing", "{}")["errors"])
+
+
+def test_streams_in_steps_with_progress(spark, tmp_path):
+    rows = spark.createDataFrame([(f"u{i}", "h") for i in range(6)], "url string, html string")
+    rows.repartition(3).write.parquet(f"{tmp_path}/in")
+    seen = ingest.Progress()
+    spark.streams.addListener(seen)
+    try:
+        stream = ingest.rate_limited(spark, "url string, html string", f"{tmp_path}/in", 1)
+        q = ingest.page_sink(stream, f"{tmp_path}/out", f"{tmp_path}/cp", every="0 seconds")
+        q.processAllAvailable()
+        batches = [p.numInputRows for p in q.recentProgress if p.numInputRows]
+        q.stop()
+    finally:
+        spark.streams.removeListener(seen)
+    assert len(batches) == 3 and sum(batches) == 6 and ingest.stored_pages(spark, f"{tmp_path}/out").count() == 6
+
+
+def test_registry_of_crawls(spark):
+    from siteglass.operators import registry
+
+    crawls = spark.createDataFrame([("a", "running", 1)], "id string, status string, started int")
+    two = registry.with_crawl(crawls, id="b", status="queued", started=2)
+    done = registry.with_crawl(two, id="a", status="completed")
+    assert {tuple(r) for r in done.collect()} == {("a", "completed", 1), ("b", "queued", 2)}
+    assert [r.id for r in registry.without_crawl(done, "a").collect()] == ["b"]
+
+
+def test_sitemaps_that_robots_name(spark):
+    robots = spark.createDataFrame([("a.com", "User-agent: *\nSITEMAP: https://a.com/1.xml\n sitemap:https://a.com/2.xml"), ("b.com", None), ("c.com", "Disallow: /")], "authority string, text string")
+    got = {(r.authority, r.url) for r in sinks.robots_sitemaps(robots).collect()}
+    assert got == {("a.com", "https://a.com/1.xml"), ("a.com", "https://a.com/2.xml"), ("b.com", "https://b.com/sitemap.xml"), ("c.com", "https://c.com/sitemap.xml")}
