@@ -171,12 +171,17 @@ def units(words: list[str]) -> tuple[list[str], list[str]]:
     return [stream[i : i + LEFT + min(LEFT, len(w) + 1)] for i, w in zip(starts, words, strict=False)], [w + BLANK for w in words if len(w) >= LEFT]
 
 
+def placed(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of the joined units, which of them are scored, and the unit of each."""
+    raw, width = coded("".join(parts))
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(lengths)
+    before = np.concatenate([[0], np.cumsum(width)]) if len(raw) > len(width) else np.arange(len(width) + 1)
+    unit = np.repeat(np.arange(len(parts)), np.diff(before[ends], prepend=0))
+    return raw, np.arange(len(raw)) >= before[ends - lengths + LEFT][unit], unit
+
+
 def unit_grams(parts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the k-grams that end at each place of the joined units, which places are scored, and the unit of each."""
-    raw, width = coded("".join(parts))
-    sizes = sizes_of(parts, width)
-    unit = np.repeat(np.arange(len(parts)), sizes)
-    opens = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) - np.fromiter(map(len, parts), np.int64, len(parts))
-    before = np.concatenate([[0], np.cumsum(width)])
-    first = before[opens + LEFT]
-    return keys(raw, k), np.arange(len(raw)) >= first[unit], unit
+    raw, scored, unit = placed(parts)
+    return keys(raw, k), scored, unit
