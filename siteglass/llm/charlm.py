@@ -4,14 +4,12 @@ A symbol is 12 bits. A code point below 0x800 is one symbol; a higher one is two
 lower eleven, so that no two texts have the same symbols. 1 opens and 2 ends a word. An n-gram of up to five symbols is one
 exact 64-bit key, its suffix a mask and its context a shift.
 
-Models of single words score a word from its opening mark to its end. Units score text across words: each unit is a
-string whose first ``LEFT`` code points are only context, and whose other symbols are scored with all of it.
+Models of single words score a word from its opening mark to its end. Units score text across words: each is a run of a
+text whose first ``LEFT`` code points are only context, and whose other symbols are scored with all of it.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import numpy as np
 
 BITS, ORDER, OPEN, END = 12, 5, 1, 2
@@ -19,15 +17,18 @@ SYMBOLS = 1 << BITS
 LEFT = ORDER - 1
 BLANK = chr(END)
 NARROW, UPPER = 0x800, 0x810
+DENSE = 1 << 25  # entries of a table of possible n-grams, beyond which they are sorted
 
 
 def coded(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of a text, and the number of symbols of each of its code points."""
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    width = 1 + (raw >= NARROW)
+    high = raw >= NARROW
+    if not high.any():
+        return np.maximum(raw, END), np.ones(len(raw), np.int64)
+    width = 1 + high
     out = np.repeat(np.where(raw < NARROW, np.maximum(raw, END), UPPER + (raw >> 11)), width)
     at = np.cumsum(width) - 1
-    high = raw >= NARROW
     out[at[high]] = 3 + (raw[high] & 0x7FF)
     return out, width
 
@@ -161,14 +162,13 @@ def score(tables, words: list[str], order: int = ORDER) -> tuple[np.ndarray, np.
     return np.add.reduceat(p, starts, axis=0) if len(p) else np.zeros((0, *p.shape[1:])), n
 
 
-def units(words: list[str]) -> tuple[list[str], list[str]]:
-    """Units of a text's words: those that cross into a word from what is before it, and those inside longer words.
+def units(words: list[str], most: int = 1 << 18) -> list[str]:
+    """Units of a text's words: runs of at most ``most`` code points, each after the last ones of the run before it.
 
     The text opens with blanks and has one after each word. Together the units score each symbol after the opening once.
     """
     stream = BLANK * LEFT + BLANK.join(words) + BLANK
-    starts = accumulate((len(w) + 1 for w in words), initial=0)
-    return [stream[i : i + LEFT + min(LEFT, len(w) + 1)] for i, w in zip(starts, words, strict=False)], [w + BLANK for w in words if len(w) >= LEFT]
+    return [stream[i : i + LEFT + most] for i in range(0, len(stream) - LEFT, most)] if words else []
 
 
 def placed(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,7 +181,46 @@ def placed(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, np.arange(len(raw)) >= before[ends - lengths + LEFT][unit], unit
 
 
-def unit_grams(parts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the k-grams that end at each place of the joined units, which places are scored, and the unit of each."""
-    raw, scored, unit = placed(parts)
-    return keys(raw, k), scored, unit
+def distinct(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of codes below ``size`` in order, and the place of each code among them."""
+    if size > DENSE:
+        return np.unique(codes, return_inverse=True)
+    there = np.zeros(size, bool)
+    there[codes] = True
+    seen = np.flatnonzero(there)
+    place = np.empty(size, np.int32)
+    place[seen] = np.arange(len(seen), dtype=np.int32)
+    return seen, place[codes]
+
+
+class Grams:
+    """The n-grams that end at some places of a row of symbols, told apart order by order.
+
+    An n-gram is numbered by its first symbol and the number of its suffix, which keeps the order of keys, so that a table
+    of a batch's possible numbers takes the place of sorting its keys.
+    """
+
+    def __init__(self, raw: np.ndarray, at: np.ndarray):
+        self.at, self.order = at, 0
+        self.used = np.flatnonzero(np.bincount(raw, minlength=SYMBOLS))
+        number = np.zeros(SYMBOLS, np.int32)
+        number[self.used] = np.arange(len(self.used))
+        self.small = number[raw]
+        self.keys, self.number = np.zeros(1, np.int64), np.zeros(len(at), np.int32)
+
+    def longer(self) -> None:
+        """One order up: keys holds the different n-grams in order, number which of them ends at each place."""
+        n = len(self.keys)
+        codes = self.small[self.at - self.order].astype(np.int64)
+        codes *= n
+        codes += self.number
+        seen, self.number = distinct(codes, len(self.used) * n)
+        first, rest = np.divmod(seen, max(n, 1))
+        self.keys = self.used[first] << (BITS * self.order) | self.keys[rest]
+        self.order += 1
+
+    def only(self, kept: np.ndarray, known: np.ndarray | None = None) -> None:
+        """Leaves the places that are kept; and known, if given, says which n-grams these have."""
+        self.at, self.number = self.at[kept], self.number[kept]
+        if known is not None:
+            self.keys, self.number = self.keys[known], (np.cumsum(known, dtype=np.int32) - 1)[self.number]

@@ -194,12 +194,18 @@ def test_perplexity_equals_recursion(spark):
     assert kn_quality.perplexities(frame(spark, []).where("false"), model).count() == 0
 
 
-def test_units_score_each_symbol_once():
-    for text in ("a", "abcd efg h", "x " * 9, "漢字かな ab 😀", "wörter " * 3):
-        heads, inner = charlm.units(text.split())
-        keys, scored, _ = charlm.unit_grams([*heads, *inner], charlm.ORDER)
+@pytest.mark.parametrize("dense", [1 << 25, 0])
+def test_units_score_each_symbol_once(monkeypatch, dense):
+    monkeypatch.setattr(charlm, "DENSE", dense)
+    for text in ("a", "abcd efg h", "x " * 9, "漢字かな ab 😀", "wörter " * 3, " "):
         whole, _ = charlm.coded(charlm.BLANK * charlm.LEFT + charlm.BLANK.join(text.split()) + charlm.BLANK)
-        assert sorted(keys[scored].tolist()) == sorted(charlm.keys(whole, charlm.ORDER)[charlm.LEFT :].tolist())
+        want = charlm.keys(whole, charlm.ORDER)[charlm.LEFT :].tolist() if text.split() else []
+        for most in (1, 3, 1000):
+            raw, scored, _ = charlm.placed(charlm.units(text.split(), most))
+            grams = charlm.Grams(raw, np.flatnonzero(scored))
+            for _ in range(charlm.ORDER):
+                grams.longer()
+            assert grams.keys[grams.number].tolist() == want and grams.keys.tolist() == sorted(set(want))
 
 
 def test_quality_keeps_clean_text(spark):
