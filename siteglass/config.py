@@ -71,6 +71,7 @@ class Advanced:
     ignore_non_indexable_for_issues: bool = False
     ignore_paginated_for_duplicates: bool = False
     respect_self_referencing_meta_refresh: bool = True
+    terminated_references: bool = False  # HTML also decodes some references without a semicolon
 
 
 @dataclass(frozen=True)
