@@ -96,10 +96,19 @@ def pagination_issues(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
 
 def sitemap_issues(pages: DataFrame, entries: DataFrame) -> DataFrame:
-    """Issues of sitemap entries (sitemap, url) against pages; none at all without entries."""
+    """Issues of sitemaps and of their entries (sitemap, url) against pages; none at all without entries."""
+    return sitemap_sizes(entries).union(sitemap_url_issues(pages, entries))
+
+
+def sitemap_sizes(entries: DataFrame) -> DataFrame:
+    """Issues of the sitemaps themselves: more than 50,000 different entries."""
+    sizes = entries.select("sitemap", "url").distinct().groupBy("sitemap").agg(F.count("*").alias("n")).where("n > 50000")
+    return sizes.select(F.col("sitemap").alias("url"), F.lit("sitemap_over_50k").alias("issue"), F.concat(F.col("n").cast("string"), F.lit(" URLs")).alias("detail"))
+
+
+def sitemap_url_issues(pages: DataFrame, entries: DataFrame) -> DataFrame:
+    """Issues of the URLs of sitemap entries and of pages."""
     entries = entries.select("sitemap", "url").distinct()
-    sizes = entries.groupBy("sitemap").agg(F.count("*").alias("n")).where("n > 50000")
-    over = sizes.select(F.col("sitemap").alias("url"), F.lit("sitemap_over_50k").alias("issue"), F.concat(F.col("n").cast("string"), F.lit(" URLs")).alias("detail"))
     listed = entries.groupBy("url").agg(F.array_sort(F.collect_set("sitemap")).alias("maps"))
     rows = listed.join(pages.select("url", "scope", "state", "indexable", "content_type", "inlinks", "discovered_from", "depth"), "url")
     kind, where = F.lower("content_type"), F.array_join("maps", ", ")
@@ -112,7 +121,7 @@ def sitemap_issues(pages: DataFrame, entries: DataFrame) -> DataFrame:
     ])
     good = pages.where("scope = 'internal' AND state = 'crawled' AND indexable AND facts IS NOT NULL").select("url")
     absent = good.join(listed, "url", "left_anti").crossJoin(F.broadcast(entries.limit(1).select(F.lit("sitemap_not_in_sitemap").alias("issue"))))
-    return over.union(by_url).union(absent.select("url", "issue", F.lit("").alias("detail")))
+    return by_url.union(absent.select("url", "issue", F.lit("").alias("detail")))
 
 
 def llms_issues(pages: DataFrame, files: DataFrame, links: DataFrame) -> DataFrame:
